@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from articleflow.functions.text import SPACE, strip
+from articleflow.functions.text import SPACE, once, strip
 
 # Fact type -> patterns, in reporting order.
 FACT_PATTERNS = {
@@ -46,7 +46,12 @@ def fact_key(col: Column) -> Column:
 
 def percent_value(col: Column) -> Column:
     """A percentage as a number, or null: ``4.5%``, ``百分之四点五``, ``4成``, ``四成``."""
-    text = F.regexp_replace(strip(col), "^(?:" + "|".join(APPROXIMATORS) + ")", "")
+    return once(
+        F.regexp_replace(strip(col), "^(?:" + "|".join(APPROXIMATORS) + ")", ""), _percent_number
+    )
+
+
+def _percent_number(text: Column) -> Column:
     number = r"([0-9]+(?:\.[0-9]+)?)"
     western = F.regexp_extract(text, rf"^{number}%\z", 1)
     tenths = F.regexp_extract(text, rf"^{number}成\z", 1)

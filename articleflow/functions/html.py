@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from articleflow.functions.text import clean_web_text, count_cjk, unescape
+from articleflow.functions.text import clean_web_text, count_cjk, once, unescape
 
 # Fixed values.
 NOISE_TAGS = ["script", "style", "noscript", "iframe", "nav", "aside", "form", "footer", "svg"]
@@ -38,39 +38,46 @@ def strip_blocks(col: Column, tags: Sequence[str] = NOISE_TAGS) -> Column:
     names = "|".join(tags)
     pieces = F.split(col, rf"(?i)(?=</?(?:{names})[\s>/])|(?=<!--)|(?=-->)")
 
-    def step(acc: Column, piece: Column) -> Column:
-        head = F.lower(F.substring(piece, 1, 12))
-        tag = F.when(piece.startswith("<!--"), "!--").otherwise(
-            F.regexp_extract(head, rf"^</?({names})", 1)
+    def describe(piece: Column) -> Column:
+        """Piece, the noise tag it begins with, +1 start or -1 end, and the text behind the tag."""
+        tag = F.lower(F.regexp_extract(piece, rf"(?i)^</?({names})[\s>/]", 1))
+        marked = F.struct(piece.alias("p"), tag.alias("t"))
+        return once(
+            marked,
+            lambda m: F.struct(
+                m["p"].alias("p"),
+                F.when(m["p"].startswith("<!--") | m["p"].startswith("-->"), "!--").otherwise(m["t"]).alias("t"),
+                F.when(m["p"].startswith("-->") | m["p"].startswith("</"), -1)
+                .when((m["t"] == "svg") & m["p"].rlike("^<[^>]*/>"), 0)
+                .otherwise(1)
+                .alias("k"),
+                F.when(m["p"].startswith("-->"), F.substring(m["p"], 4, 1 << 30))
+                .when(m["t"] != "", F.regexp_replace(m["p"], "^<[^>]*>?", ""))
+                .otherwise("")
+                .alias("rest"),
+            ),
         )
-        is_end = F.when(piece.startswith("-->"), acc["open"] == "!--").otherwise(
-            head.startswith("</") & (tag != "")
-        )
-        after = F.when(piece.startswith("-->"), F.substring(piece, 4, 1 << 30)).otherwise(
-            F.regexp_replace(piece, r"^</?[^>]*>?", "")
-        )
-        starts = (tag != "") & ~is_end & ~(
-            (tag == "svg") & F.coalesce(piece.rlike(r"^<[^>]*/>"), F.lit(False))
-        )
-        outside = acc["open"] == ""
-        same = F.when(piece.startswith("-->"), acc["open"] == "!--").otherwise(tag == acc["open"])
-        comment_reopened = (acc["open"] == "!--") & (tag == "!--")
+
+    def step(acc: Column, x: Column) -> Column:
+        outside = acc["depth"] == 0
+        starts = (x["t"] != "") & (x["k"] == 1)
+        same = x["t"] == acc["open"]
+        nested = same & starts & (x["t"] != "!--")
         depth = (
             F.when(outside, F.when(starts, 1).otherwise(0))
-            .when(comment_reopened, acc["depth"])
-            .when(same & is_end, acc["depth"] - 1)
-            .when(same & starts, acc["depth"] + 1)
+            .when(nested, acc["depth"] + 1)
+            .when(same & (x["k"] == -1), acc["depth"] - 1)
             .otherwise(acc["depth"])
         )
         kept = (
             F.when(outside & starts, "")
-            .when(outside & (tag != ""), after)
-            .when(outside, piece)
-            .when(depth == 0, after)
+            .when(outside & ((x["t"] == "") | (x["t"] == "!--")), x["p"])
+            .when(outside, x["rest"])
+            .when((acc["depth"] == 1) & same & (x["k"] == -1), x["rest"])
             .otherwise("")
         )
         return F.struct(
-            F.when(depth == 0, "").when(outside, tag).otherwise(acc["open"]).alias("open"),
+            F.when(outside & starts, x["t"]).otherwise(acc["open"]).alias("open"),
             depth.alias("depth"),
             F.concat(acc["out"], F.filter(F.array(kept), lambda k: k != "")).alias("out"),
         )
@@ -80,51 +87,54 @@ def strip_blocks(col: Column, tags: Sequence[str] = NOISE_TAGS) -> Column:
         F.lit(0).alias("depth"),
         F.array().cast("array<string>").alias("out"),
     )
-    return F.array_join(F.reduce(pieces, start, step, lambda acc: acc["out"]), "")
+    walked = F.reduce(F.transform(pieces, describe), start, step, lambda acc: acc["out"])
+    return F.array_join(walked, "")
 
 
-def _opening(rule: str) -> tuple[str, int]:
+def _opening(rule: str) -> str:
     """Pattern of the opening tag of ``tag``, ``tag.class`` or ``#id``; group 1 is the tag name."""
     if rule.startswith("#"):
-        return rf"<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*\bid\s*=\s*[\"']?{rule[1:]}(?=[\s\"'>])[^>]*>", 1
+        return rf"<([a-zA-Z][a-zA-Z0-9]*)\b[^>]*\bid\s*=\s*[\"']?{rule[1:]}(?=[\s\"'>])[^>]*>"
     tag, _, css = rule.partition(".")
     if css:
-        return rf"<({tag})\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?{css}(?=[\s\"'>])[^>]*>", 1
-    return rf"<({tag})(?=[\s>])[^>]*>", 1
+        return rf"<({tag})\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?{css}(?=[\s\"'>])[^>]*>"
+    return rf"<({tag})(?=[\s>])[^>]*>"
 
 
 def _balanced(rest: Column, tag: Column) -> Column:
     """The part of ``rest`` up to the end tag that closes an element opened just before it."""
     pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s>/])")))
-    lowered = F.lower(tag)
-
-    def step(acc: Column, piece: Column) -> Column:
-        opens = F.lower(F.substring(piece, F.lit(2), F.length(tag))) == lowered
-        closes = F.lower(F.substring(piece, F.lit(3), F.length(tag))) == lowered
-        change = (
-            F.when(piece.startswith("</") & closes, -1)
-            .when(piece.startswith("<") & opens, 1)
-            .otherwise(0)
-        )
+    changes = F.transform(
+        pieces,
+        lambda p, i: F.when(p.startswith("</"), -1)
+        .when((i > 0) | F.regexp_like(p, F.concat(F.lit("(?i)^<"), tag, F.lit(r"[\s>/]"))), 1)
+        .otherwise(0),
+    )
+
+    def step(acc: Column, change: Column) -> Column:
         depth = F.when(acc["depth"] > 0, acc["depth"] + change).otherwise(0)
         return F.struct(
             depth.alias("depth"), (acc["keep"] + F.when(depth > 0, 1).otherwise(0)).alias("keep")
         )
 
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("keep"))
-    keep = F.reduce(pieces, start, step, lambda acc: acc["keep"])
-    return F.array_join(F.slice(pieces, F.lit(1), keep), "")
+    keep = F.reduce(changes, start, step, lambda acc: acc["keep"])
+    return once(pieces, lambda ps: F.array_join(F.slice(ps, F.lit(1), keep), ""))
 
 
 def container(col: Column, rules: Sequence[str]) -> Column:
     """Inside of the first rule that matches, else the whole page."""
-    out = col
-    for rule in reversed(rules):
-        opening, _ = _opening(rule)
-        rest = F.regexp_extract(col, f"(?is){opening}(.*)", 2)
-        tag = F.regexp_extract(col, f"(?is){opening}", 1)
-        out = F.when(col.rlike(f"(?is){opening}"), _balanced(rest, tag)).otherwise(out)
-    return out
+
+    def choose(page: Column) -> Column:
+        out = page
+        for rule in reversed(rules):
+            opening = f"(?is){_opening(rule)}"
+            tag = F.regexp_extract(page, opening, 1)
+            rest = F.regexp_extract(page, f"{opening}(.*)", 2)
+            out = F.when(page.rlike(opening), once(rest, lambda r, t=tag: _balanced(r, t))).otherwise(out)
+        return out
+
+    return once(col, choose)
 
 
 def plain(col: Column) -> Column:
@@ -166,18 +176,21 @@ def _element(col: Column, tag: str) -> Column:
 
 def _meta(col: Column, attribute: str) -> Column:
     tag = F.regexp_extract(col, rf"(?is)<meta\b[^>]*\b{attribute}\s*=\s*[\"']og:title[\"'][^>]*>", 0)
-    double = F.regexp_extract(tag, r'(?is)\bcontent\s*=\s*"([^"]*)"', 1)
-    single = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'([^']*)'", 1)
-    return F.coalesce(F.nullif(unescape(double), F.lit("")), F.nullif(unescape(single), F.lit("")))
+    content = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+    return F.nullif(unescape(F.substring(content, F.lit(2), F.length(content) - 2)), F.lit(""))
 
 
 def strip_suffix(col: Column, suffixes: Sequence[str]) -> Column:
     """Remove the first of the suffixes that fits; one at most."""
-    out = col
-    for suffix in reversed(suffixes):
-        cut = F.substring(col, F.lit(1), F.length(col) - len(suffix))
-        out = F.when(col.endswith(suffix), cut).otherwise(out)
-    return out
+
+    def cut(text: Column) -> Column:
+        out = text
+        for suffix in reversed(suffixes):
+            shorter = F.substring(text, F.lit(1), F.length(text) - len(suffix))
+            out = F.when(text.endswith(suffix), shorter).otherwise(out)
+        return out
+
+    return once(col, cut) if suffixes else col
 
 
 def title_element(col: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -39,6 +40,11 @@ def char_class(chars: str) -> str:
     return "[" + "".join("\\" + c if c in "[]^-\\&\"'()" else c for c in chars) + "]"
 
 
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``col`` once and use its value several times inside one expression."""
+    return F.get(F.transform(F.array(col), use), 0)
+
+
 def count_cjk(col: Column) -> Column:
     return F.regexp_count(col, F.lit(CJK)).cast("long")
 
@@ -90,10 +96,13 @@ def clean(col: Column) -> Column:
     out = F.coalesce(col, F.lit(""))
     out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    out = F.when(
-        out.contains("&"),
-        _decode(out, "&(?i:" + "|".join(ENTITIES) + ");", lambda e: F.element_at(known, F.lower(e))),
-    ).otherwise(out)
+    pattern = "&(?i:" + "|".join(ENTITIES) + ");"
+    out = once(
+        out,
+        lambda t: F.when(
+            t.contains("&"), _decode(t, pattern, lambda e: F.element_at(known, F.lower(e)))
+        ).otherwise(t),
+    )
     out = nfkc(out)
     out = F.regexp_replace(out, r"[\p{Cf}\p{Cc}]", "")
     return strip(F.regexp_replace(out, r"[ \t\r\f\x0b]+", " "))
@@ -123,11 +132,8 @@ def _code_point(number: Column) -> Column:
 
 def unescape(col: Column) -> Column:
     """Decode HTML character references: numeric ones, and the named ones of HTML 4."""
-    known = F.create_map(
-        *[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))],
-        F.lit("apos"),
-        F.lit("'"),
-    )
+    table = " ".join(f"{name}={chr(code)}" for name, code in sorted(name2codepoint.items()))
+    known = F.str_to_map(F.lit(table + " apos='"), F.lit(" "), F.lit("="))
 
     def value(name: Column) -> Column:
         digits = F.regexp_replace(name, "^#[xX]?", "")
@@ -138,7 +144,7 @@ def unescape(col: Column) -> Column:
         )
 
     pattern = "&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
-    return F.when(col.contains("&"), _decode(col, pattern, value)).otherwise(col)
+    return once(col, lambda t: F.when(t.contains("&"), _decode(t, pattern, value)).otherwise(t))
 
 
 def sentence_array(
