@@ -125,13 +125,17 @@ def _balanced(rest: Column, tag: Column) -> Column:
 def container(col: Column, rules: Sequence[str]) -> Column:
     """Inside of the first rule that matches, else the whole page."""
 
+    def inside(page: Column, opening: str) -> Column:
+        tag = F.regexp_extract(page, opening, 1)
+        rest = F.regexp_extract(page, f"{opening}(.*)", 2)
+        parts = F.struct(rest.alias("rest"), tag.alias("tag"))
+        return once(parts, lambda x: _balanced(x["rest"], x["tag"]))
+
     def choose(page: Column) -> Column:
         out = page
         for rule in reversed(rules):
             opening = f"(?is){_opening(rule)}"
-            tag = F.regexp_extract(page, opening, 1)
-            rest = F.regexp_extract(page, f"{opening}(.*)", 2)
-            out = F.when(page.rlike(opening), once(rest, lambda r, t=tag: _balanced(r, t))).otherwise(out)
+            out = F.when(page.rlike(opening), inside(page, opening)).otherwise(out)
         return out
 
     return once(col, choose)

@@ -13,6 +13,7 @@ from articleflow.functions.fact_text import (
     fact_key,
     percent_value,
 )
+from articleflow.functions.text import once
 
 # Fixed values.
 REPORT_ORDER = ["percent", "year_quarter", "month", "year", "time_range"]
@@ -22,19 +23,16 @@ NO_BASIS = "（源文无依据）"
 
 def extract(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
     """(doc_id, fact_type, fact_idx, fact): all facts of a text, in one narrow pass."""
-    typed = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    all_matches(F.col(col), t),
-                    lambda f, i, t=t: F.struct(
-                        F.lit(t).alias("fact_type"), i.cast("long").alias("fact_idx"), f.alias("fact")
-                    ),
-                )
-                for t in FACT_PATTERNS
-            ]
+
+    def typed_facts(fact_type: str) -> Column:
+        return F.transform(
+            all_matches(F.col(col), fact_type),
+            lambda f, i: F.struct(
+                F.lit(fact_type).alias("fact_type"), i.cast("long").alias("fact_idx"), f.alias("fact")
+            ),
         )
-    )
+
+    typed = F.flatten(F.array(*[typed_facts(t) for t in FACT_PATTERNS]))
     return df.select(key, F.explode(typed).alias("_f")).select(key, "_f.*")
 
 
@@ -66,28 +64,33 @@ def violations(candidate: Column, source: Column) -> Column:
     values = lambda text: F.filter(
         F.transform(all_matches(text, "percent"), percent_value), lambda v: v.isNotNull()
     )
-    source_values = values(source)
-    found = [
-        F.transform(
-            F.filter(
-                all_matches(candidate, "percent"),
-                lambda f: percent_value(f).isNotNull()
-                & ~F.exists(source_values, lambda s: compatible(percent_value(f), s)),
+
+    def percentages() -> Column:
+        valued = F.transform(
+            all_matches(candidate, "percent"),
+            lambda f: F.struct(f.alias("f"), percent_value(f).alias("v")),
+        )
+        sides = F.struct(valued.alias("mine"), values(source).alias("known"))
+        lost = once(
+            sides,
+            lambda x: F.filter(
+                x["mine"],
+                lambda c: c["v"].isNotNull() & ~F.exists(x["known"], lambda s: compatible(c["v"], s)),
             ),
-            lambda f: F.concat(F.lit("percent: "), f, F.lit(NO_VALUE)),
         )
-    ]
-    for fact_type in REPORT_ORDER[1:]:
-        known = F.transform(all_matches(source, fact_type), fact_key)
-        found.append(
-            F.transform(
-                F.filter(
-                    all_matches(candidate, fact_type),
-                    lambda f, known=known: ~F.array_contains(known, fact_key(f)),
-                ),
-                lambda f, t=fact_type: F.concat(F.lit(f"{t}: "), f, F.lit(NO_BASIS)),
-            )
+        return F.transform(lost, lambda c: F.concat(F.lit("percent: "), c["f"], F.lit(NO_VALUE)))
+
+    def exact(fact_type: str) -> Column:
+        sides = F.struct(
+            all_matches(candidate, fact_type).alias("mine"),
+            F.transform(all_matches(source, fact_type), fact_key).alias("known"),
+        )
+        lost = once(
+            sides, lambda x: F.filter(x["mine"], lambda f: ~F.array_contains(x["known"], fact_key(f)))
         )
+        return F.transform(lost, lambda f: F.concat(F.lit(f"{fact_type}: "), f, F.lit(NO_BASIS)))
+
+    found = [percentages(), *[exact(t) for t in REPORT_ORDER[1:]]]
     empty = F.array().cast("array<string>")
     usable = (F.coalesce(candidate, F.lit("")) != "") & (F.coalesce(source, F.lit("")) != "")
     return F.when(usable, F.flatten(F.array(*found))).otherwise(empty)

@@ -22,16 +22,16 @@ def overlap(pairs: DataFrame, orders: tuple[int, ...] = ORDERS, key: str = "id")
         key, tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r")
     )
 
+    def marked(name: str, order: int, is_prediction: int) -> Column:
+        return F.transform(
+            grams(F.col(name), order),
+            lambda g: F.struct(
+                F.lit(order).alias("n"), g.alias("gram"), F.lit(is_prediction).alias("p")
+            ),
+        )
+
     def side(name: str, is_prediction: int) -> list[Column]:
-        return [
-            F.transform(
-                grams(F.col(name), n),
-                lambda g, n=n: F.struct(
-                    F.lit(n).alias("n"), g.alias("gram"), F.lit(is_prediction).alias("p")
-                ),
-            )
-            for n in orders
-        ]
+        return [marked(name, order, is_prediction) for order in orders]
 
     rows = both.select(
         key, F.explode_outer(F.concat(*side("_p", 1), *side("_r", 0))).alias("_g")

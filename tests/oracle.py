@@ -69,7 +69,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     bad = []
-    for name in names or queries:
+    picked = [n for n in queries if not names or n in names or f"@{queries[n].__module__.split('.')[-1]}" in names]
+    for name in picked:
         began = time.time()
         try:
             verdict, n = compare(spark, con, name, folder, queries, oracles)
