@@ -21,7 +21,7 @@ from articleflow.operators.quality import article_problem
 
 
 def read(
-    spark: SparkSession, directory: str, name: str, schema: StructType, files_per_batch: int = 16
+    spark: SparkSession, directory: str, name: str, schema: StructType | str, files_per_batch: int = 16
 ) -> DataFrame:
     """Micro-batches of the parquet files of one table."""
     return (

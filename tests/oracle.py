@@ -10,6 +10,7 @@ import time
 import duckdb
 import pandas as pd
 
+TIMES: dict[str, float] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 TABLES = (
@@ -43,8 +44,10 @@ def rows_of(columns: list[str], rows) -> list[tuple[str, ...]]:
 
 
 def compare(spark, con, name: str, folder: str, queries, oracles) -> tuple[str, int]:
+    began = time.time()
     df = queries[name](spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES[name] = time.time() - began
     if name not in oracles:
         return "rows-only", len(got)
     result = con.execute(oracles[name])
@@ -78,7 +81,7 @@ def main() -> None:
             verdict, n = f"ERROR {type(problem).__name__}: {str(problem)[:900]}", 0
         if not verdict.startswith(("ok", "rows-only")):
             bad.append(name)
-        print(f"{name:24s} {n:7d} rows {time.time() - began:6.2f}s {verdict}", flush=True)
+        print(f"{name:24s} {n:7d} rows {TIMES.get(name, 0):6.2f}s of {time.time() - began:6.2f}s {verdict}", flush=True)
     print("failed:", bad)
 
 
