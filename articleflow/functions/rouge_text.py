@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from articleflow.functions.text import SPACE
+from articleflow.functions.text import SPACE, once
 
 TOKEN = rf"[A-Za-z0-9]+|[^{SPACE[1:-1]}]"
 
 
 def tokens(col: Column) -> Column:
     """ASCII words in lower case, every other visible character on its own."""
-    found = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike("^[A-Za-z0-9]"), F.lower(t)).otherwise(t))
+    lowered = F.translate(F.coalesce(col, F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
 
 
 def grams(token_array: Column, n: int) -> Column:
     """All n-grams; tokens hold no white space, so a space is a safe separator."""
-    count = F.size(token_array) - (n - 1)
-    return F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-            lambda i: F.array_join(F.slice(token_array, i, n), " "),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def join(items: Column) -> Column:
+        out = items
+        for k in range(1, n):
+            following = F.slice(items, F.lit(k + 1), F.size(items))
+            out = F.zip_with(out, following, lambda left, right: F.concat(left, F.lit(" "), right))
+        return F.slice(out, F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(0)))
+
+    return token_array if n == 1 else once(token_array, join)
 
 
 def f_score(overlap: Column, predicted: Column, expected: Column) -> Column:

@@ -46,6 +46,8 @@ def _converge(step: Callable[[np.ndarray], np.ndarray], out: np.ndarray) -> np.n
 def _sparse_scores(size: int, sent: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
     if size == 0:
         return np.empty(0)
+    order = np.lexsort((term, sent))
+    sent, term, weight = sent[order], term[order], weight[order]
     norm = np.sqrt(np.bincount(sent, weight * weight, size))
     cell = weight / np.where(norm == 0, 1e-8, norm)[sent]
     _, term = np.unique(term, return_inverse=True)
@@ -79,43 +81,66 @@ def _dense_batch(vectors: pd.Series) -> pd.Series:
     return pd.Series([_dense_scores(np.stack(list(v)).astype("float64")) for v in vectors])
 
 
-def _split_by_size(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of documents up to the limit, rows of larger ones or None if there are none)."""
-    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key)
-    if large.isEmpty():
-        return df, None
-    return df.join(large, key, "left_anti"), df.join(large, key, "left_semi")
+def _large(sizes: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """Keys of the documents beyond the limit, or None if there are none."""
+    keys = sizes.where(F.col("cells") > limit).select(key)
+    return None if keys.isEmpty() else keys
 
 
-def scores(
-    vectors: DataFrame, nodes: DataFrame, key: str = "doc_id", max_cells: int = MAX_CELLS
+def score_lists(
+    vectors: DataFrame,
+    docs: DataFrame,
+    key: str = "doc_id",
+    max_cells: int = MAX_CELLS,
+    sizes: DataFrame | None = None,
+    name: str = "scores",
 ) -> DataFrame:
-    """(doc_id, sent_idx, score) for non-negative sparse vectors (doc_id, sent_idx, term, weight).
+    """Documents with their sentence scores as an array in sentence order.
 
-    ``nodes`` holds (doc_id, sentences): how many sentences, numbered from 0, a document has.
+    ``vectors`` are non-negative and sparse (doc_id, sent_idx, term, weight); ``docs`` has
+    (doc_id, sentences, ...) with the number of sentences, numbered from 0. ``sizes`` (doc_id,
+    cells) may give an upper bound of each document's vector cells from something cheaper than the
+    vectors, such as its length; by default they are counted.
     """
-    small, large = _split_by_size(vectors, key, max_cells)
-    cells = F.array_sort(F.collect_list(F.struct("sent_idx", "term", "weight")))
-    grouped = small.groupBy(key).agg(cells.alias("_cells"))
-    part = lambda name: F.transform(F.coalesce("_cells", F.array()), lambda c: c[name])
-    counted = nodes.where("sentences > 0")
-    if large is not None:
-        counted_small = counted.join(large.select(key).distinct(), key, "left_anti")
-    else:
-        counted_small = counted
-    empty = F.array().cast("array<struct<sent_idx:bigint,term:int,weight:double>>")
-    typed = counted_small.join(grouped, key, "left").withColumn(
-        "_cells",
-        F.coalesce(F.col("_cells").cast("array<struct<sent_idx:bigint,term:int,weight:double>>"), empty),
+    if sizes is None:
+        sizes = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("cells"))
+    large = _large(sizes, key, max_cells)
+    small = vectors if large is None else vectors.join(large, key, "left_anti")
+    grouped = small.groupBy(key).agg(
+        F.collect_list("sent_idx").alias("_i"),
+        F.collect_list("term").alias("_t"),
+        F.collect_list("weight").alias("_w"),
+    )
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    solved = _sparse_batch(
+        F.col("sentences"),
+        F.coalesce("_i", none("bigint")),
+        F.coalesce("_t", none("int")),
+        F.coalesce("_w", none("double")),
     )
-    solved = typed.select(
-        key, _sparse_batch(F.col("sentences"), part("sent_idx"), part("term"), part("weight")).alias("_s")
-    ).select(key, F.posexplode("_s").alias("sent_idx", "score"))
-    out = solved.withColumn("sent_idx", F.col("sent_idx").cast("long"))
+    usual = docs if large is None else docs.join(large, key, "left_anti")
+    out = usual.join(grouped, key, "left").withColumn(name, solved).drop("_i", "_t", "_w")
     if large is not None:
-        big = counted.join(large.select(key).distinct(), key, "left_semi")
-        out = out.unionByName(joined_scores(large, big, key))
-    return out.withColumn("score", F.round("score", DIGITS))
+        big = docs.join(large, key, "left_semi")
+        found = joined_scores(vectors.join(large, key, "left_semi"), big.select(key, "sentences"), key)
+        ordered = F.array_sort(F.collect_list(F.struct("sent_idx", "score")))
+        lists = found.groupBy(key).agg(F.transform(ordered, lambda r: r["score"]).alias(name))
+        out = out.unionByName(big.join(lists, key))
+    return out.withColumn(name, F.transform(name, lambda s: F.round(s, DIGITS)))
+
+
+def scores(
+    vectors: DataFrame,
+    nodes: DataFrame,
+    key: str = "doc_id",
+    max_cells: int = MAX_CELLS,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """(doc_id, sent_idx, score), one row per sentence; see ``score_lists``."""
+    listed = score_lists(vectors, nodes.select(key, "sentences"), key, max_cells, sizes)
+    return listed.select(key, F.posexplode("scores").alias("sent_idx", "score")).withColumn(
+        "sent_idx", F.col("sent_idx").cast("long")
+    )
 
 
 def joined_scores(vectors: DataFrame, nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -257,7 +282,8 @@ def dense_scores(
 ) -> DataFrame:
     """(key, item, score) for dense vectors: groups up to a checked size in one batch row each."""
     rows = vectors.select(key, item, vector)
-    small, large = _split_by_size(rows, key, max_sentences)
+    large = _large(rows.groupBy(key).agg(F.count(F.lit(1)).alias("cells")), key, max_sentences)
+    small = rows if large is None else rows.join(large, key, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(item).alias("id"), F.col(vector).alias("v"))))
     grouped = small.groupBy(key).agg(ordered.alias("_r"))
     solved = grouped.select(
@@ -269,7 +295,7 @@ def dense_scores(
     ).select(key, F.explode("_s").alias("_s"))
     out = solved.select(key, F.col("_s.id").alias(item), F.col("_s.score").alias("score"))
     if large is not None:
-        out = out.unionByName(block_scores(large, key, item, vector, block))
+        out = out.unionByName(block_scores(rows.join(large, key, "left_semi"), key, item, vector, block))
     return out.withColumn("score", F.round("score", DIGITS))
 
 

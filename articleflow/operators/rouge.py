@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from articleflow.functions.rouge_text import common_length, f_score, grams, tokens
 from articleflow.functions.text import is_blank
+from articleflow.session import by_key
 
 ORDERS = (1, 2)
 
@@ -17,7 +18,7 @@ def overlap(pairs: DataFrame, orders: tuple[int, ...] = ORDERS, key: str = "id")
     Rows with (id, prediction, reference) are placed by id while they are still compact text.
     The n-grams then meet in the task that made them: no n-gram is shuffled.
     """
-    placed = pairs.select(key, "prediction", "reference").repartition(key)
+    placed = by_key(pairs.select(key, "prediction", "reference"), key)
     both = placed.select(
         key, tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r")
     )

@@ -9,7 +9,7 @@ from articleflow.session import fresh_path
 from articleflow.sources import runs as run_registry
 from articleflow.sources import sinks
 from articleflow.sources.schemas import MODEL_EVALUATIONS
-from articleflow.sources.tables import read
+from articleflow.sources.tables import read, read_spread
 
 NOW = "2026-01-01 00:00:00"
 
@@ -17,7 +17,7 @@ NOW = "2026-01-01 00:00:00"
 def _pairs(spark, d):
     """Each document scored against the benchmark passage its number falls on."""
     items = read(spark, d, "benchmark").select("item_id", F.col("text").alias("reference"))
-    docs = read(spark, d, "documents")
+    docs = read_spread(spark, d, "documents", "doc_id")
     number = items.agg(F.count(F.lit(1)).alias("n")).scalar()
     return docs.withColumn("item_id", F.col("doc_id") % number).join(items, "item_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("prediction"), "reference"

@@ -8,7 +8,7 @@ from articleflow.operators import facts, rank, vectors
 from articleflow.plans import summarise
 from articleflow.plans.catalogue import query
 from articleflow.plans.mapping import rounded
-from articleflow.sources.tables import read
+from articleflow.sources.tables import read, read_spread
 
 ENDERS = ".!?"
 WORDS = r"[\p{L}0-9]+"
@@ -19,7 +19,7 @@ WORDS = r"[\p{L}0-9]+"
     r"""SELECT doc_id, sha256(trim(regexp_replace(replace(text, chr(10), ''), '[ \t]+', ' ', 'g'))) AS cleaned_hash FROM documents""",
 )
 def clean_text(spark, d):
-    docs = read(spark, d, "documents")
+    docs = read_spread(spark, d, "documents", "doc_id")
     return docs.select("doc_id", text.sha256(text.clean(F.col("text"))).alias("cleaned_hash"))
 
 
@@ -33,7 +33,7 @@ sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln,
 
 def _sentences(spark, d):
     found = text.sentence_array(F.col("text"), ENDERS, "letters")
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(found).alias("sent_idx", "sentence"))
+    rows = read_spread(spark, d, "documents", "doc_id").select("doc_id", F.posexplode(found).alias("sent_idx", "sentence"))
     return rows.withColumn("sent_idx", F.col("sent_idx").cast("long"))
 
 
@@ -81,7 +81,7 @@ DOT = r"'([0-9])\s*\.\s*([0-9])', '\1.\2', 'g'"
     FROM documents""",
 )
 def normalised(spark, d):
-    docs = read(spark, d, "documents")
+    docs = read_spread(spark, d, "documents", "doc_id")
     return docs.select("doc_id", text.sha256(normalise_summary(F.col("text"))).alias("h"))
 
 
@@ -104,7 +104,7 @@ badexact AS (SELECT doc_id, fact_type, fact_idx, fact FROM fct c WHERE side = 'c
 
 def _grounded(spark, d):
     """Orders as short texts with years, months, shares and half-years, and as summaries of them."""
-    o = read(spark, d, "orders")
+    o = read_spread(spark, d, "orders", "o_orderkey")
     year, month = F.year("o_orderdate"), F.month("o_orderdate").cast("string")
     share = lambda by: F.round(F.col("o_totalprice") / by, 1).cast("string")
     source = F.concat(
@@ -202,7 +202,8 @@ def rank_sentences(spark, d):
     """Rows only: iterating in SQL over all documents is too slow; tests compare with brute force."""
     rows = _sentences(spark, d)
     nodes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
-    return rounded(rank.scores(vectors.encode(rows, token_pattern=WORDS), nodes), ["score"])
+    sizes = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("cells"))
+    return rounded(rank.scores(vectors.encode(rows, token_pattern=WORDS), nodes, sizes=sizes), ["score"])
 
 
 def _valued(spark, d):
@@ -244,7 +245,7 @@ def budget_select(spark, d):
 
 
 def _drafts(spark, d):
-    docs = read(spark, d, "documents").select(
+    docs = read_spread(spark, d, "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), F.ceil(F.col("n_chars") / 4).alias("token_count")
     )
     return summarise.extractive(docs, 512, 2.0, ENDERS, "letters", "id", WORDS)
@@ -286,7 +287,7 @@ def _marking():
 )
 def batch_generate(spark, d):
     long = F.col("n_chars") > 4000
-    docs = read(spark, d, "documents").select(
+    docs = read_spread(spark, d, "documents", "doc_id").select(
         F.col("doc_id").alias("id"), F.when(long, "too_long").otherwise("ok").alias("outcome"),
         F.col("text").alias("cleaned"), F.when(~long, F.col("text")).alias("selected"), F.lit(None).cast("string").alias("error"),
     )

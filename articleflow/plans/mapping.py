@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.sources.tables import read
+from articleflow.sources.tables import read, read_spread
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -160,7 +160,7 @@ folded AS (SELECT task_id, list_reduce(l, lambda a, x: {
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """Documents as a corpus with splits, sentence lists and first-line summaries."""
-    return read(spark, d, "documents").select(
+    return read_spread(spark, d, "documents", "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("article"),
         F.split("text", "\n").alias("sentences"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from articleflow.functions import text
 from articleflow.functions.summary_text import normalise_summary
 from articleflow.operators import facts, rank, vectors
+from articleflow.session import by_key, cut_lineage
 
 # Fixed values.
 EMPTY_AFTER_CLEANING = "输入正文清洗后为空，无法生成摘要。"
@@ -19,6 +20,8 @@ NO_SENTENCES = "输入正文无法切分出有效句子，无法生成摘要。"
 NOTHING_CHOSEN = "Token Budget 未选出任何句子，无法生成摘要。"
 EMPTY_SUMMARY = "正式摘要模型输出为空，无法生成摘要。"
 FACTS_REJECTED = "摘要硬事实校验未通过，不交付："
+# No character becomes more than 18 characters in NFKC, so this bounds the tokens of a text.
+NFKC_GROWTH = 18
 
 
 def extractive(
@@ -33,38 +36,33 @@ def extractive(
     """(id, outcome, cleaned, selected, error) for articles with (id, content, token_count).
 
     Outcomes: ok, too_long (judged on the raw article, before any work) or failed. Texts move
-    once, to their id's partition; vectors, scores and choices stay there.
+    once, to their id's partition, and are cleaned once; vectors, scores and choices stay there.
     """
     short = articles.where(F.col("token_count") <= budget)
     long = articles.where(~F.coalesce(F.col("token_count") <= budget, F.lit(False)))
-    docs = short.select(key, "content").repartition(key).select(
-        key, text.clean(F.col("content")).alias("cleaned")
-    )
-    docs = docs.withColumn("sentences", text.sentence_array(F.col("cleaned"), enders, script))
-    rows = docs.select(key, F.posexplode("sentences").alias("sent_idx", "sentence")).withColumn(
+    docs = cut_lineage(
+        by_key(short.select(key, "content"), key).select(key, text.clean(F.col("content")).alias("cleaned"))
+    ).withColumn("texts", text.sentence_array(F.col("cleaned"), enders, script))
+    rows = docs.select(key, F.posexplode("texts").alias("sent_idx", "sentence")).withColumn(
         "sent_idx", F.col("sent_idx").cast("long")
     )
     weights = vectors.encode(rows, key, token_pattern=token_pattern)
-    nodes = docs.select(key, F.size("sentences").cast("long").alias("sentences"))
-    scored = rank.scores(weights, nodes, key)
-    per_doc = scored.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("sent_idx", "score"))).alias("_scores")
-    )
-    joined = docs.join(per_doc, key, "left")
-    ranked = F.zip_with(
-        F.coalesce("_scores", F.array().cast("array<struct<sent_idx:bigint,score:double>>")),
-        "sentences",
-        lambda s, t: F.struct(
-            s["score"].alias("score"), s["sent_idx"].alias("sent_idx"), t.alias("sentence")
+    sizes = short.select(key, (F.length("content") * NFKC_GROWTH).alias("cells"))
+    counted = docs.withColumn("sentences", F.size("texts").cast("long"))
+    scored = rank.score_lists(weights, counted, key, sizes=sizes)
+    ranked = F.transform(
+        F.arrays_zip("scores", "texts"),
+        lambda x, i: F.struct(
+            x["scores"].alias("score"), i.cast("long").alias("sent_idx"), x["texts"].alias("sentence")
         ),
     )
     selected = F.array_join(rank.choose(ranked, budget, char_per_token), "")
     error = (
         F.when(F.col("cleaned") == "", EMPTY_AFTER_CLEANING)
-        .when(F.size("sentences") == 0, NO_SENTENCES)
+        .when(F.col("sentences") == 0, NO_SENTENCES)
         .when(F.col("selected") == "", NOTHING_CHOSEN)
     )
-    worked = joined.withColumn("selected", selected).withColumn("error", error).select(
+    worked = scored.withColumn("selected", selected).withColumn("error", error).select(
         key,
         F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("outcome"),
         "cleaned",

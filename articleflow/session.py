@@ -48,6 +48,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Place rows by key while they are still compact, so that all later work by key stays local.
+
+    The number is given, so adaptive execution does not merge CPU-heavy partitions for being small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than cores; a large scan stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return by_key(scan, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors, and keeps iterative plans short."""
     work_dir(df.sparkSession)

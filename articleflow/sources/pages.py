@@ -8,4 +8,4 @@ from articleflow.sources import tables
 
 
 def read(spark: SparkSession, directory: str) -> DataFrame:
-    return tables.read(spark, directory, "pages")
+    return tables.read_spread(spark, directory, "pages", "page_id")
