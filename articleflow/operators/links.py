@@ -112,7 +112,7 @@ def ranked(links: DataFrame, newest_first: bool = False, width: int = 10_000) ->
         order, bucket = [age, *order], F.struct(age.alias("age"), block.alias("block"))
     placed = position(links, ["category"], order, bucket, "rank")
     seen = links.groupBy("category").agg(F.min(F.struct("page_id", "pos")).alias("category_order"))
-    return placed.join(seen, "category")
+    return placed.join(F.broadcast(seen), "category")  # one row per category of the dimension
 
 
 def round_robin(links: DataFrame, limit: int, newest_first: bool = False, width: int = 10_000) -> DataFrame:

@@ -47,14 +47,15 @@ def position(
     )
 
 
-def _levels(df: DataFrame, seq: str, width: int) -> int:
-    """How many times a span of ``seq`` must be divided by ``width``; one number from the scan."""
+def _levels(df: DataFrame, seq: str, width: int) -> tuple[int, int]:
+    """Least ``seq``, and how often the span above it must be divided by ``width``.
+
+    Two numbers from a one-column scan decide how the fold is planned.
+    """
     low, high = df.agg(F.min(seq), F.max(seq)).first()
-    if low is None:
-        return 1
-    if low < 0:
-        raise ValueError("sequence numbers must not be negative")
-    return max(1, math.ceil(math.log(int(high) + 1, width))) if high else 1
+    if low is None or low == high:
+        return low or 0, 1
+    return int(low), max(1, math.ceil(math.log(int(high) - int(low) + 1, width)))
 
 
 def _combine(grouped_keys: list[str], df: DataFrame, merge: Merge) -> DataFrame:
@@ -86,13 +87,13 @@ def ordered_fold(
     ``width`` sequence numbers; their results are folded again, as often as the span needs.
     """
     keys = list(keys)
-    levels = _levels(df, seq, width)
-    step = df.select(*keys, F.col(seq).cast("long").alias("_at"), segment.alias("_seg"))
+    low, levels = _levels(df, seq, width)
+    step = df.select(*keys, (F.col(seq).cast("long") - low).alias("_at"), segment.alias("_seg"))
     for level in range(levels):
         if level == levels - 1:
             step = _combine(keys, step, merge)
         else:
-            step = step.withColumn("_chunk", F.floor(F.col("_at") / width))
+            step = step.withColumn("_chunk", F.expr(f"_at div {width}"))
             step = _combine([*keys, "_chunk"], step, merge).withColumnRenamed("_chunk", "_at")
     return step.withColumnRenamed("_seg", name)
 
@@ -112,11 +113,11 @@ def ordered_scan(
     ``s``. Chunks are composed upwards, then replayed downwards from their true start states.
     """
     keys = list(keys)
-    levels = _levels(df, seq, width)
+    low, levels = _levels(df, seq, width)
     compose: Merge = lambda left, right: F.transform(left, lambda s: F.get(right, s))
-    tiers = [df.select(*keys, F.col(seq).cast("long").alias("_at"), outcomes.alias("_seg"))]
+    tiers = [df.select(*keys, (F.col(seq).cast("long") - low).alias("_at"), outcomes.alias("_seg"))]
     for _ in range(levels - 1):
-        below = tiers[-1].withColumn("_chunk", F.floor(F.col("_at") / width))
+        below = tiers[-1].withColumn("_chunk", F.expr(f"_at div {width}"))
         tiers.append(
             _combine([*keys, "_chunk"], below, compose).withColumnRenamed("_chunk", "_at")
         )
@@ -124,7 +125,7 @@ def ordered_scan(
     def replay(tier: DataFrame, starts: DataFrame | None) -> DataFrame:
         group = keys if starts is None else [*keys, "_chunk"]
         if starts is not None:
-            tier = tier.withColumn("_chunk", F.floor(F.col("_at") / width))
+            tier = tier.withColumn("_chunk", F.expr(f"_at div {width}"))
         listed = tier.groupBy(*group).agg(
             F.array_sort(F.collect_list(F.struct("_at", "_seg"))).alias("_list")
         )
@@ -150,4 +151,4 @@ def ordered_scan(
     starts = None
     for tier in reversed(tiers):
         starts = replay(tier, starts)
-    return starts.select(*keys, F.col("_at").alias(seq), F.col("_start").alias(name))
+    return starts.select(*keys, (F.col("_at") + low).alias(seq), F.col("_start").alias(name))

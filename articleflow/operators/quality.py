@@ -82,12 +82,25 @@ def audit(articles: DataFrame, favorites: DataFrame, feedback: DataFrame) -> Dat
         [], ["article_not_null", "article_status_domain", "article_length_limits"],
         "check", "violations",
     )
+
+    def orphans(df: DataFrame) -> DataFrame:
+        """Rows without an article; counted per article first, so a hot one is a single row."""
+        per_article = df.groupBy("news_id").agg(F.count(F.lit(1)).alias("n"))
+        return per_article.join(ids, "news_id", "left_anti")
+
+    def total(df: DataFrame, check: str) -> DataFrame:
+        return df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
+            F.lit(check).alias("check"), "violations"
+        )
+
     checks = [
         (_excess(articles, ["content_hash"]), "article_unique_content_hash"),
         (_excess(articles, ["id"]), "article_unique_id"),
         (_excess(favorites, ["client_id", "news_id"]), "favorite_unique_client_news"),
         (_excess(feedback, ["client_id", "news_id"]), "feedback_unique_client_news"),
-        (favorites.select("news_id").join(ids, "news_id", "left_anti"), "favorite_orphans"),
-        (feedback.select("news_id").join(ids, "news_id", "left_anti"), "feedback_orphans"),
     ]
-    return reduce(DataFrame.unionByName, [_named(df, name) for df, name in checks], rows)
+    counted = [_named(df, name) for df, name in checks] + [
+        total(orphans(favorites), "favorite_orphans"),
+        total(orphans(feedback), "feedback_orphans"),
+    ]
+    return reduce(DataFrame.unionByName, counted, rows)

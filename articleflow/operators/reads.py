@@ -56,9 +56,9 @@ def page(
         .offset(skipped)
         .limit(size)
     )
-    return top.withColumn("total", total(rows).scalar()).withColumn(
-        "has_more", F.col("total") > skipped + size
-    )
+    # One projection: a second one on top of the subquery would hide the top-k from the planner.
+    matching = total(rows).scalar()
+    return top.select("*", matching.alias("total"), (matching > skipped + size).alias("has_more"))
 
 
 def detail(

@@ -46,15 +46,14 @@ def quantiles(
             for i, r in enumerate(ratios)
         ]
     )
-    targets = totals.select(*by, "n", "low", "high", "mean", F.explode(brackets).alias("_t"))
+    facts = ["n", "low", "high", "mean"]
+    wanted = totals.select(*by, F.struct(*facts, brackets.alias("_t")).alias("_w"))
     counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    if by:
-        met = counts.join(targets, by)
-    else:
-        met = counts.withColumn("_one", F.lit(1)).join(targets.withColumn("_one", F.lit(1)), "_one")
+    met = counts.join(wanted, by) if by else counts.withColumn("_w", wanted.select("_w").scalar())
+    met = met.select(*by, "_v", "_c", *[F.col(f"_w.{f}") for f in facts], F.explode("_w._t").alias("_t"))
     side = F.when(F.col("_v") < F.col("_t.from"), -1).when(F.col("_v") > F.col("_t.to"), 1).otherwise(0)
     met = met.withColumn("_side", side)
-    group = [*by, "n", "low", "high", "mean", "ratio"]
+    group = [*by, *facts, "ratio"]
     slots = (
         met.withColumn("ratio", F.col("_t.ratio"))
         .groupBy(*group, "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_slot"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,22 +24,26 @@ def build_session(name: str = "articleflow", cores: str = "8", memory: str = "8g
     )
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
     Only a local session without the setting gets a temporary folder of its own.
     """
+    context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = getattr(spark, "_articleflow_work_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="articleflow-")
-        spark._articleflow_work_dir = made
-        spark.sparkContext.setCheckpointDir(os.path.join(made, "checkpoints"))
-    return made
+    if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        app = context.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="articleflow-")
+        shared = _LOCAL_FOLDERS[app]
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared.rstrip('/')}/checkpoints")
+    return shared
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

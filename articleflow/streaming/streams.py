@@ -68,7 +68,7 @@ def ingest(
             F.col("page_id").alias("seq"), "title", "content", "category",
             F.lit(cfg.name).alias("source"), F.col("url").alias("source_url"), "publish_time",
         )
-        valid = ingest_ops.with_hash(seen.where(article_problem(domain).isNull()))
+        valid = ingest_ops.with_hash(seen.where(article_problem(domain).isNull())).persist()
         fresh = ingest_ops.first_by_hash(valid)
         if stored is not None:
             fresh = fresh.join(stored.select("content_hash"), "content_hash", "left_anti")
@@ -76,6 +76,7 @@ def ingest(
             earlier = spark.read.parquet(folder).where(F.col("batch") < batch_id)
             fresh = fresh.join(earlier.select("content_hash"), "content_hash", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        valid.unpersist()
 
     each_batch(pages, path, write)
     return spark.read.parquet(folder)
