@@ -63,7 +63,7 @@ def l(pairs: DataFrame, key: str = "id") -> DataFrame:  # noqa: E743
     left, right = tokens(F.col("prediction")), tokens(F.col("reference"))
     measured = pairs.select(
         key,
-        common_length(left, right).alias("_l"),
+        common_length(F.array_join(left, "\n"), F.array_join(right, "\n")).alias("_l"),
         F.size(left).alias("_p"),
         F.size(right).alias("_r"),
     )
