@@ -400,9 +400,10 @@ n75 AS (SELECT * FROM r ORDER BY abs(token_count - (SELECT quantile_cont(token_c
 c75 AS (SELECT * FROM n75 WHERE id NOT IN (SELECT id FROM c50) ORDER BY h, id LIMIT 8),
 n90 AS (SELECT * FROM r ORDER BY abs(token_count - (SELECT quantile_cont(token_count, 0.9) FROM r)), id LIMIT 128),
 c90 AS (SELECT * FROM n90 WHERE id NOT IN (SELECT id FROM c50 UNION ALL SELECT id FROM c75) ORDER BY h, id LIMIT 8),
-st AS (SELECT * FROM r WHERE token_count BETWEEN 512 - 64 AND 511 ORDER BY h, id LIMIT 16)
+band AS (SELECT CASE WHEN count(*) FILTER (token_count BETWEEN 448 AND 511) >= 16 THEN 64 ELSE 128 END AS width FROM r),
+st AS (SELECT r.*, width FROM r, band WHERE token_count BETWEEN 512 - width AND 511 ORDER BY h, id LIMIT 16)
 SELECT id, token_count, 'p50' AS kind FROM c50 UNION ALL SELECT id, token_count, 'p75' FROM c75
-UNION ALL SELECT id, token_count, 'p90' FROM c90 UNION ALL SELECT id, token_count, 'within_64' FROM st"""
+UNION ALL SELECT id, token_count, 'p90' FROM c90 UNION ALL SELECT id, token_count, 'within_' || width FROM st"""
 
 
 @query("quantile_sample", QUANTILE_SAMPLE_SQL)
