@@ -112,6 +112,21 @@ def fold(events: DataFrame, key: str = "task_id", seq: str = "seq", width: int =
     return state_rows(segments, key)
 
 
+def stale_events(
+    states: DataFrame, events: DataFrame, as_of: Column, minutes: int = 10, key: str = "task_id", seq: str = "seq"
+) -> DataFrame:
+    """A ``fail`` event for every task whose last applied event left it in processing too long ago.
+
+    Appended to the log, they recover a continuous fold as ``recover_stale`` recovers a table; the
+    clock is a parameter, so the result does not depend on when the job runs.
+    """
+    running = states.where("status = 'processing'").select(key, F.col("updated_seq").alias(seq))
+    late = events.select(key, seq, "ts").join(running, [key, seq]).where(
+        F.col("ts") < as_of - F.make_interval(mins=F.lit(minutes))
+    )
+    return late.select(key, F.lit("fail").alias("event"), as_of.alias("ts"), F.col(seq).alias("stale_seq"))
+
+
 def ignored(events: DataFrame, key: str = "task_id", seq: str = "seq", width: int = 256) -> DataFrame:
     """The events the fold ignored, with the state they met: the warning log."""
     met = ordered_scan(events, [key], seq, outcomes(F.col("event")), PENDING, "_met", width)

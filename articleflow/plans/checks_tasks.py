@@ -58,6 +58,25 @@ def task_warnings(spark, d):
     return tasks.ignored(task_events(spark, d))
 
 
+PAIR_TASKS_SQL = TASKS_SQL.replace("user_id AS task_id", "user_id * 1000 + json_extract(props, '$.k')::BIGINT AS task_id")
+
+
+@query(
+    "task_stale_events",
+    f"""WITH {PAIR_TASKS_SQL}, last AS (SELECT task_id, f.updated AS seq FROM folded WHERE f.s = 'processing')
+    SELECT last.task_id, last.seq AS stale_seq, 'fail' AS event FROM last JOIN tev ON tev.task_id = last.task_id AND tev.seq = last.seq
+    WHERE tev.ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 MINUTE""",
+)
+def task_stale_events(spark, d):
+    """Tasks are (user, article) pairs here, so that many of them are still running."""
+    article = read(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("k")
+    )
+    log = task_events(spark, d).join(article, "seq").withColumn("task_id", F.col("task_id") * 1000 + F.col("k"))
+    found = tasks.stale_events(tasks.fold(log), log, as_of("2024-01-20 00:00:00"))
+    return found.select("task_id", "stale_seq", "event")
+
+
 def _view(df):
     return df.select(
         "id", "summary_status", F.coalesce("summary", F.lit("")).alias("summary"),

@@ -63,7 +63,7 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Use all cores on a scan that has fewer splits than cores; a large scan stays as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return by_key(scan, key) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ def latest(runs: DataFrame, predicate: Column) -> DataFrame:
     return runs.where(predicate).orderBy(F.col("run_id").desc()).limit(1)
 
 
+# Task names, statuses and profiles below are fixed values of the run records.
 def accepted_quality() -> Column:
     return (
         F.col("task").isin("B2-10", "B6-01")

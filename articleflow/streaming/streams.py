@@ -101,6 +101,16 @@ def current(log: DataFrame, keys: Sequence[str], merge: Merge) -> DataFrame:
     return ordered_fold(log, keys, "batch", F.col("folded"), merge)
 
 
+def compact(log: DataFrame, keys: Sequence[str], merge: Merge, path: str) -> DataFrame:
+    """Write a log as one segment per key, dated with its last batch; read on from there.
+
+    Merging is associative, so later batches can be added to the compacted log as to the full one.
+    """
+    last = log.agg(F.max("batch")).scalar()
+    current(log, keys, merge).withColumn("batch", last).write.mode("errorifexists").parquet(path)
+    return log.sparkSession.read.parquet(path)
+
+
 def task_states(stream: DataFrame, path: str, key: str = "task_id") -> DataFrame:
     """Task states from a stream of (task_id, seq, event); a retry is a request event."""
     log = fold_log(

@@ -35,6 +35,11 @@ def test_task_stream_equals_batch(spark, tmp_path):
     assert (tmp_path / "out/segments/batch=4").exists()
     want = tasks.fold(spark.createDataFrame(rows, schema))
     assert sorted(got.collect()) == sorted(want.collect())
+    log = spark.read.parquet(str(tmp_path / "out/segments"))
+    early = streams.compact(log.where("batch < 3"), ["task_id"], tasks.merge_tasks, str(tmp_path / "compact"))
+    both = early.select(log.columns).unionByName(log.where("batch >= 3"))
+    again = tasks.state_rows(streams.current(both, ["task_id"], tasks.merge_tasks))
+    assert sorted(again.collect()) == sorted(want.collect())
 
 
 def test_interaction_streams_equal_batch(spark, tmp_path):
