@@ -78,9 +78,9 @@ DATED_SQL = """
 dated AS (SELECT o_orderkey // 50 AS page_id, o_orderkey % 50 AS pos, 'https://news.example.com/' || CASE WHEN o_orderkey % 40 = 0
   THEN strftime(o_orderdate, '%Y-') || '13/45' ELSE strftime(o_orderdate, '%Y-%m/%d') END || '/content_' || (o_orderkey % 1000) || '.htm'
   AS link, o_orderpriority AS category, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate::DATE END AS link_date FROM orders),
-recent AS (SELECT * FROM dated WHERE link_date::TIMESTAMP >= TIMESTAMP '1998-06-10 12:00:00' - INTERVAL 30 DAY),
+recent AS (SELECT * FROM dated WHERE link_date::TIMESTAMP >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 30 DAY),
 uniq AS (SELECT category, link, min(link_date) AS link_date, min(page_id * 50 + pos) AS spot FROM recent GROUP BY ALL)"""
-NOON = "1998-06-10 12:00:00"
+NOON = "1998-06-15 12:00:00"
 
 
 @query(
@@ -94,7 +94,7 @@ def links_newest_first(spark, d):
 
 @query(
     "links_today",
-    f"WITH {DATED_SQL} SELECT category, count(DISTINCT link) AS found_today FROM uniq WHERE link_date = DATE '1998-06-10' GROUP BY category",
+    f"WITH {DATED_SQL} SELECT category, count(DISTINCT link) AS found_today FROM uniq WHERE link_date = DATE '1998-06-15' GROUP BY category",
 )
 def links_today(spark, d):
     recent = links.with_dates(_dated_links(spark, d), HOSTS, 30, as_of(NOON))
@@ -204,7 +204,7 @@ def page_filters(spark, d):
 
 @query(
     "recent_articles",
-    """SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0 OR o_orderdate >= TIMESTAMP '1998-06-10 12:00:00' - INTERVAL 3 DAY""",
+    """SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 10 = 0 OR o_orderdate >= TIMESTAMP '1998-06-15 12:00:00' - INTERVAL 3 DAY""",
 )
 def recent_articles(spark, d):
     from articleflow.plans.mapping import orders_articles

@@ -52,12 +52,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+BYTES_PER_TASK = 8 << 20
+
+
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Place rows by key while they are still compact, so that all later work by key stays local.
 
-    The number is given, so adaptive execution does not merge CPU-heavy partitions for being small.
+    The number is given, so adaptive execution does not merge CPU-heavy partitions for being small:
+    all cores for little data, up to ``spark.sql.shuffle.partitions`` by estimated size for more.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spark = df.sparkSession
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(spark.sparkContext.defaultParallelism, estimate // BYTES_PER_TASK)
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted), key)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
