@@ -155,7 +155,11 @@ def learn(statistics: DataFrame, labels: DataFrame, features: Sequence[str] = FE
     )).first()
     if limits[0] is None:
         return []
-    bins = F.array(*(F.size(F.filter(F.array(*map(F.lit, limits[f])), lambda t, f=f: F.col(f) >= t)) for f in features))
+
+    def bin_of(feature: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, limits[feature])), lambda t: F.col(feature) >= t))
+
+    bins = F.array(*map(bin_of, features))
     rest = staged(joined.select(F.when(F.col("_third") == 0, 1).otherwise(0).alias("half"), (1 - F.col("_quality")).cast("int").alias("low"), bins.alias("bins")), "quality-bins")
     rules: list[Rule] = []
 

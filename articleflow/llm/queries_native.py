@@ -39,10 +39,10 @@ def _mix_sql() -> str:
         )
     last = f"w{mixing.ROUNDS * 3}"
     parts += [
-        f"ordered AS (SELECT *, sum(n) OVER (ORDER BY weight / n DESC, source, lang, topic) - n AS full_n, "
+        f"ordered AS (SELECT *, row_number() OVER (ORDER BY weight / n DESC, source, lang, topic) AS k, sum(n) OVER (ORDER BY weight / n DESC, source, lang, topic) - n AS full_n, "
         f"sum(weight) OVER (ORDER BY weight / n, source DESC, lang DESC, topic DESC) AS open_weight FROM {last})",
         # the scale is the first at which the next cell in order is not full any more
-        f"factor AS (SELECT coalesce(min(f) FILTER (WHERE f * weight / n < 1), max(f)) AS f FROM (SELECT *, "
+        f"factor AS (SELECT arg_min(f, k) FILTER (WHERE f * weight / n < 1) AS f FROM (SELECT *, "
         f"({mixing.BUDGET} * (SELECT sum(n) FROM cells) - full_n) / open_weight AS f FROM ordered))",
         f"rated AS (SELECT source, lang, topic, weight, least(1.0, (SELECT f FROM factor) * weight / n) AS probability FROM {last})",
     ]
