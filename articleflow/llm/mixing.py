@@ -21,7 +21,7 @@ Target = float | Mapping[str, float]
 TARGETS: dict[str, Target] = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1}, "topic": 0.7}
 BUDGET = 0.5
 SEED = "mix-1"
-ROUNDS = 20
+ROUNDS = 12
 
 
 def topic(text: Column) -> Column:
@@ -104,22 +104,44 @@ def scale(cells: DataFrame, budget: float) -> float:
         factor = after
 
 
-def mix(
-    documents: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET, seed: str = SEED
-) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled.
+def rates(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """The margins of each cell of ``measured`` documents, its weight and the probability of its documents.
 
-    ``budget`` is a share of all tokens. Draws depend on the id and the seed alone, so repeated rows share
-    their fate, and a sample is the same in any partitioning. Cells are aggregated before they are shuffled; one
-    source may hold any share of the rows. Other columns are not read.
+    ``budget`` is a share of all tokens. Cells are aggregated before they are shuffled; one source may hold any
+    share of the rows.
     """
-    docs = staged(measured(documents), "mix-docs")
     cells = staged(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), "mix-counts")
     raked = rake(cells, targets)
     total = cells.agg(F.sum("n")).first()[0] or 0
     factor = scale(raked, budget * total)
     chance = F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("n"))
-    rated = raked.select(*MARGINS, F.col("weight"), chance.alias("probability"))
-    return docs.join(rated, list(MARGINS)).select(
+    return raked.select(*MARGINS, "weight", chance.alias("probability"))
+
+
+def mix(
+    documents: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET, seed: str = SEED
+) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, n_tokens, weight, probability, sampled.
+
+    Draws depend on the id and the seed alone, so repeated rows share their fate, and a sample is the same in
+    any partitioning. Other columns are not read.
+    """
+    docs = staged(measured(documents), "mix-docs")
+    return docs.join(rates(docs, targets, budget), list(MARGINS)).select(
         "doc_id", *MARGINS, "n_tokens", "weight", "probability", (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled")
     )
+
+
+def sample(
+    documents: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET, seed: str = SEED
+) -> DataFrame:
+    """The documents that ``mix`` draws, with the columns they have."""
+    names = {m: f"_{m}" for m in MARGINS}
+    known = staged(rates(measured(documents), targets, budget), "mix-rates").drop("weight").withColumnsRenamed({**names, "probability": "_p"})
+    keyed = documents.withColumns({
+        "_source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")),
+        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")),
+        "_topic": topic(F.coalesce("text", F.lit(""))),
+    })
+    drawn = keyed.join(known, list(names.values())).where(draw(F.col("doc_id"), seed) < F.col("_p"))
+    return drawn.select(documents.columns)

@@ -1,8 +1,8 @@
 """SimHash near duplicates: 64-bit fingerprints of word shingles, compared exactly in tiles.
 
-Fingerprints of equal bits meet first. Distinct ones are cut into tiles by their four 16-bit population
-counts; the counts of two fingerprints differ by no more than their bits do, so tile pairs whose counts
-differ beyond the radius are never formed. Inside a tile pair numpy compares everything with exclusive-or
+Fingerprints of equal bits meet first. Distinct ones are cut into tiles by the population counts of their
+halves (of their quarters when there are many); the counts of two fingerprints differ by no more than their
+bits do, so tile pairs whose counts differ beyond the radius are never formed. Inside a tile pair numpy compares everything with exclusive-or
 and bit counts, and returns a spanning forest of the links in place of all of them.
 """
 
@@ -21,7 +21,9 @@ from articleflow.llm.common import map_texts, staged
 
 SEED = 42
 #: Distinct fingerprints in a tile, about; larger cells are cut by a hash.
-TILE_ROWS = 4096
+TILE_ROWS = 1024
+#: From so many distinct fingerprints on, quarters give tiles enough rows. Either way finds the same links.
+QUARTERS_FROM = 4_000_000
 BLOCK = 512
 
 
@@ -45,13 +47,18 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed long; null and empty texts have zero."""
+    """doc_id, its fingerprint and its text's hash (as Spark's ``xxhash64``), both signed; null and empty texts have fingerprint zero."""
+
+    def signed(numbers: Iterator[int]) -> list[int]:
+        return np.array(list(numbers), np.uint64).view(np.int64).tolist()
 
     def rows(keys: list, texts: list) -> dict[str, list]:
-        marks = np.array([fingerprint(t, width) for t in texts], np.uint64)
-        return {"doc_id": keys, "mark": marks.view(np.int64).tolist()}
+        return {
+            "doc_id": keys, "mark": signed(fingerprint(t, width) for t in texts),
+            "text_hash": signed(xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts),
+        }
 
-    return map_texts(documents, "doc_id", "text", "doc_id long, mark long", rows)
+    return map_texts(documents, "doc_id", "text", "doc_id long, mark long, text_hash long", rows)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +92,11 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
     return values[at], values[label[at]]
 
 
-def _cell(mark: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(mark, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long"))).alias(f"_p{i}") for i in range(4)]
+def _cell(mark: Column, parts: int) -> list[Column]:
+    """Population counts of equal parts of a fingerprint."""
+    bits = 64 // parts
+    ones = F.lit((1 << bits) - 1).cast("long")
+    return [F.bit_count(F.shiftrightunsigned(mark, bits * i).bitwiseAND(ones)).alias(f"_p{i}") for i in range(parts)]
 
 
 def links(marks: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -95,8 +105,10 @@ def links(marks: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> Data
     ``marks`` has one column, mark. Cells that could hold a link are found by their counts, never by
     multiplying the tables; a cell of many rows is several tiles.
     """
-    cells = [f"_p{i}" for i in range(4)]
-    distinct = marks.select("mark").where("mark is not null").distinct().select("mark", *_cell(F.col("mark")))
+    single = staged(marks.select("mark").where("mark is not null").distinct(), "simhash-single")
+    parts = 4 if single.count() >= QUARTERS_FROM else 2
+    cells = [f"_p{i}" for i in range(parts)]
+    distinct = single.select("mark", *_cell(F.col("mark"), parts))
     sizes = distinct.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_cuts"))
     tiles = (
         distinct.join(sizes, cells)
@@ -105,13 +117,13 @@ def links(marks: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> Data
     )
     tiles = staged(tiles.withColumn("tile", F.concat_ws("-", *cells, "_cut")), "simhash-tiles")
     # each unordered pair of cells once: the offset whose first non-zero entry is positive, or none at all
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+    steps = [d for d in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
     offsets = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in steps))).alias("d")
     narrow = tiles.select(*cells, "_cut", "tile")
     left = narrow.select("*", offsets).select(
         F.col("tile").alias("left_tile"), F.col("_cut").alias("left_cut"),
         *((F.col(c) + F.col(f"d.d{i}")).alias(c) for i, c in enumerate(cells)),
-        (F.expr(" and ".join(f"d.d{i} = 0" for i in range(4)))).alias("same_cell"),
+        F.expr(" and ".join(f"d.d{i} = 0" for i in range(parts))).alias("same_cell"),
     )
     pairs = (
         left.join(narrow.withColumnRenamed("tile", "right_tile"), cells)
@@ -127,10 +139,12 @@ def links(marks: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(batch.num_rows):
                 a, b = (batch.column(k)[i].values.to_numpy().view(np.uint64) for k in (1, 2))
-                u, v = _forest(a, b, radius, batch.column(0)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                found.append(_forest(a, b, radius, batch.column(0)[i].as_py()))
+            u, v = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return work.mapInArrow(run, "u long, v long")
 
@@ -166,10 +180,11 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), group_id, text_hash.
 
     Null and empty texts, and texts without words, have fingerprint zero and link like others. Documents
-    without an id belong to a component but never name it. Repeated rows stay; other columns are not read.
+    without an id belong to a component but never name it; ``group_id`` tells components apart also where ids
+    repeat. Repeated rows stay; other columns are not read.
     """
     marks = staged(fingerprints(documents, width), "simhash-marks")
     rooted = components(links(marks, radius))
@@ -177,7 +192,29 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4) -> Da
     known = first.join(rooted, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     known = staged(known, "simhash-roots")
     names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(names, "root").select("mark", "component_id")
+    named = known.join(names, "root").select("mark", "root", "component_id")
     return marks.join(named, "mark").select(
-        "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id",
+        F.lower(F.lpad(F.hex("root"), 16, "0")).alias("group_id"), "text_hash",
+    )
+
+
+def one_of_each(documents: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """``documents`` without near duplicates: of each component the row with the smallest doc_id stays.
+
+    Of equal ids the row with the smallest text hash stays, of equal texts one; rows without an id stay only
+    where their component has no other. Columns and their values are kept as they are.
+    """
+    found = near_duplicates(documents, radius, width)
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    leaders = found.groupBy("group_id").agg(F.min(rank).alias("_first"))
+    leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "simhash-leaders")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    kept = documents.withColumn("_hash", text_hash).join(leaders, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    repeats = (
+        found.join(leaders, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left_semi")
+        .groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     )
+    if repeats:  # the same id with the same text: only then is it worth moving texts
+        kept = kept.dropDuplicates(["doc_id", "_hash"])
+    return kept.select(documents.columns)
