@@ -37,6 +37,8 @@ PRIOR_WEIGHTS = (4.0, 5.0, 1.0, 1.5, 4.0, 6.0, 1.0, 0.5)
 SAMPLE_TOXIC = 2500
 SAMPLE_CLEAN = 4000
 
+SKETCH_BITS = 22
+
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
@@ -93,6 +95,11 @@ def _signature(words: list[str]) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0)
 
 
+def _keys(words: set[str]) -> set[str]:
+    """Whole words (marked) and stems of four to seven letters."""
+    return {f"{w}$" for w in words} | {w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n}
+
+
 def learn_words(
     texts: list[str], labels: list[int], known: set[str] = frozenset(), least_ratio: float = 20.0
 ) -> tuple[set[str], set[str]]:
@@ -101,23 +108,28 @@ def learn_words(
     A candidate must be ``least_ratio`` times as frequent in toxic texts as in clean ones; each one
     taken must explain enough different texts that no earlier one explains. Stems have four to seven letters.
     """
-    toxic, clean, sizes = defaultdict(set), Counter(), [0, 0]
+    distinct = lambda text: set(_WORD.findall(text.lower()))
+    groups: tuple[list[str], list[str]] = ([], [])
     seen: set[tuple[int, int]] = set()
     for text, label in zip(texts, labels, strict=True):
-        words = _WORD.findall(text.lower())
-        mark = (_signature(words), label)
-        if mark in seen:
-            continue
-        seen.add(mark)
-        sizes[label] += 1
-        distinct = set(words)
-        keys = {f"{w}$" for w in distinct} | {w[:n] for w in distinct for n in (4, 5, 6, 7) if len(w) >= n}
-        if label:
-            for k in keys:
-                toxic[k].add(sizes[1])
-        else:
-            clean.update(keys)
+        mark = (_signature(_WORD.findall(text.lower())), label)
+        if mark not in seen:
+            seen.add(mark)
+            groups[label].append(text)
+    sizes = [len(g) for g in groups]
     least = max(10, sizes[1] // 100)
+    # counts by a hash of the key first: a table of fixed size tells which few keys are worth a set of their own
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+    for text in groups[1]:
+        sketch[list({hash(k) & (1 << SKETCH_BITS) - 1 for k in _keys(distinct(text))})] += 1
+    toxic, clean = defaultdict(set), Counter()
+    for n, text in enumerate(groups[1]):
+        for k in _keys(distinct(text)):
+            if sketch[hash(k) & (1 << SKETCH_BITS) - 1] >= least:
+                toxic[k].add(n)
+    toxic = {k: docs for k, docs in toxic.items() if len(docs) >= least or k.rstrip("$") in known}
+    for text in groups[0]:
+        clean.update(k for k in _keys(distinct(text)) if k in toxic)
     open_sets = {
         k: docs for k, docs in toxic.items()
         if len(docs) >= least
