@@ -32,8 +32,14 @@ def record_key(df: DataFrame, fields: Sequence[str]) -> Column:
 
 
 def normalise(scanned: DataFrame, split: str, file: str = "source_file") -> DataFrame:
-    """Normalised records of the good lines of a JSON-lines scan; one out per one in."""
-    good = scanned.where("status = 'ok'")
+    """Normalised records of a JSON-lines scan, one out per line in, with the line's ``status``.
+
+    Lines that are no record, and records whose article is no list of strings (``not_list``), keep their row
+    and have nulls. ``line_accounts`` counts them; ``jsonl.strict`` aborts on them instead.
+    """
+    listed = F.try_variant_get("record", "$.article", "array<string>").isNotNull()
+    status = F.when((F.col("status") == "ok") & ~listed, "not_list").otherwise(F.col("status"))
+    good = scanned.withColumn("status", status).withColumn("record", F.when(F.col("status") == "ok", F.col("record")))
     sentences = F.variant_get("record", "$.article", "array<string>")
     optional = [F.try_variant_get("record", f"$.{f}", "string").alias(f) for f in OPTIONAL_FIELDS]
     return good.select(
@@ -44,10 +50,19 @@ def normalise(scanned: DataFrame, split: str, file: str = "source_file") -> Data
         F.to_json(F.variant_get("record", "$.label", "variant")).alias("label"),
         F.lit(split).alias("source_split"),
         F.col(file).alias("source_file"),
+        "status",
         *optional,
     )
 
 
+def line_accounts(normalised: DataFrame) -> DataFrame:
+    """Per file: lines read, records made, and lines that are none; the first is the sum of the others."""
+    made = F.col("status") == "ok"
+    return normalised.groupBy("source_split", "source_file").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(made).alias("records"), F.count_if(~made).alias("refused")
+    )
+
+
 def value_type(col: Column) -> Column:
     """Type of a variant value, by the names JSON readers use for it."""
     kind = F.schema_of_variant(col)
@@ -197,18 +212,18 @@ def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(number).cast("string").alias("digest"))
 
 
-SAMPLE_LIMIT = 100_000
-
-
-def sample_fingerprint(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Ordered digest of a sample: SHA-256 over its row digests, one per line.
+def sample_fingerprint(
+    df: DataFrame, columns: Sequence[str], order: str, width: int = 4096, levels: int = 3
+) -> DataFrame:
+    """Ordered digest of a table of any size: a tree of SHA-256 over ranges of ``order``, a whole number that names a row.
 
-    An ordered digest needs its rows together, so larger tables are refused, not cut.
+    Each level joins the digests of ``width`` numbers, one per line; the last joins what is left. The result
+    depends on the rows and on ``width`` and ``levels`` alone, and no group is larger than a range.
     """
     row = sha256(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    bounded = df.select(row.alias("row"), F.struct(*order).alias("at"))
-    size = bounded.limit(SAMPLE_LIMIT + 1).count()
-    if size > SAMPLE_LIMIT:
-        raise ValueError(f"more than {SAMPLE_LIMIT} rows: use fingerprint()")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"])
-    return bounded.agg(sha256(F.array_join(lines, "\n")).alias("digest"))
+    step = df.select(F.col(order).cast("long").alias("at"), row.alias("row"))
+    for level in range(levels):
+        at = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("at") / width).cast("long")
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"])
+        step = step.withColumn("up", at).groupBy("up").agg(sha256(F.array_join(lines, "\n")).alias("row")).withColumnRenamed("up", "at")
+    return step.select(F.col("row").alias("digest"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.functions.text import is_blank
 from articleflow.operators.stats import quantiles
 
 # Fixed values.
@@ -84,7 +85,7 @@ def accounting(results: DataFrame, expected: DataFrame) -> DataFrame:
     counted = results.agg(
         F.count_if(ok).alias("succeeded"),
         F.count_if(~ok).alias("failed"),
-        F.count_if(ok & (F.trim("summary") == "")).alias("empty_outputs"),
+        F.count_if(ok & is_blank(F.col("summary"))).alias("empty_outputs"),
         F.avg(size).alias("mean_length"),
     )
     return counted.select(

@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import sha256
 from articleflow.operators.ordering import position
 from articleflow.operators.quality import article_problem
+from articleflow.session import fresh_path
+
+
+def fetch_sources(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]]) -> tuple[list[DataFrame], dict[str, str]]:
+    """Rows of every source that can be read, and the error of each that cannot.
+
+    Spark reads lazily, so each source is written to the shared folder as a unit of its own; a broken one
+    then cannot void the others.
+    """
+    loaded, failed = [], {}
+    for name, load in loaders.items():
+        try:
+            rows, path = load(), fresh_path(spark, "fetched")
+            rows.write.parquet(path)
+            loaded.append(spark.read.schema(rows.schema).parquet(path))
+        except Exception as problem:  # a source's failure is its outcome
+            failed[name] = f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}"
+    return loaded, failed
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
-    """All sources with the one schema; a source that failed to load is simply not in the list."""
-    return reduce(DataFrame.unionByName, sources)
+    """All sources with the one schema, in order: ``fetch`` numbers them, as each counts ``seq`` by itself."""
+    if not sources:
+        raise ValueError("no source was read")
+    return reduce(DataFrame.unionByName, (df.withColumn("fetch", F.lit(n)) for n, df in enumerate(sources)))
+
+
+def place(df: DataFrame, seq: str = "seq") -> list[str]:
+    """The columns that identify an arrival, in order."""
+    return ["fetch", seq] if "fetch" in df.columns else [seq]
 
 
 def with_hash(df: DataFrame) -> DataFrame:
@@ -22,10 +48,19 @@ def with_hash(df: DataFrame) -> DataFrame:
 
 
 def first_copies(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """(content_hash, first_seq, copies): hashes only, combined before the shuffle."""
-    return df.groupBy("content_hash").agg(
-        F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("copies")
-    )
+    """(content_hash, first_seq, copies), with first_fetch for several sources: hashes only, combined before the shuffle."""
+    keys = place(df, seq)
+    found = df.groupBy("content_hash").agg(F.min(F.struct(*keys)).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    names = ["first_seq" if k == seq else f"first_{k}" for k in keys]
+    return found.select("content_hash", *(F.col(f"_first.{k}").alias(n) for k, n in zip(keys, names)), "copies")
+
+
+def _winners(df: DataFrame, seq: str) -> DataFrame:
+    """The places of the first copies."""
+    keys = place(df, seq)
+    names = ["first_seq" if k == seq else f"first_{k}" for k in keys]
+    found = first_copies(df.select("content_hash", *keys), seq)
+    return found.select("content_hash", *(F.col(n).alias(k) for k, n in zip(keys, names)))
 
 
 def first_by_hash(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -33,8 +68,7 @@ def first_by_hash(df: DataFrame, seq: str = "seq") -> DataFrame:
 
     Winners are found on (hash, seq) alone, so the bodies of copies are never sorted or grouped.
     """
-    winners = first_copies(df.select("content_hash", seq), seq).select(F.col("first_seq").alias(seq))
-    return df.join(winners, seq, "left_semi")
+    return df.join(_winners(df, seq), place(df, seq), "left_semi")
 
 
 def match(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,15 +84,16 @@ def outcomes(df: DataFrame, existing: DataFrame, domain, seq: str = "seq") -> Da
 
     Only identifiers and hashes are shuffled.
     """
+    keys = place(df, seq)
     judged = with_hash(df.withColumn("reason", article_problem(domain))).select(
-        seq, "source", "reason", "content_hash"
+        *keys, "source", "reason", "content_hash"
     )
     valid = judged.where("reason is null")
     stored = existing.select("content_hash").distinct()
-    created = first_copies(valid, seq).join(stored, "content_hash", "left_anti")
-    created = created.select(F.col("first_seq").alias(seq), F.lit(True).alias("_created"))
-    return judged.join(created, seq, "left").select(
-        seq,
+    created = _winners(valid, seq).join(stored, "content_hash", "left_anti")
+    created = created.select(*keys, F.lit(True).alias("_created"))
+    return judged.join(created, keys, "left").select(
+        *keys,
         "source",
         "reason",
         "content_hash",
@@ -86,9 +121,10 @@ def append(new: DataFrame, existing: DataFrame, as_of: Column, seq: str = "seq",
     Ids continue after the greatest stored one, in arrival order, without a single-task window.
     """
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")).scalar()
-    ranked = position(
-        new.withColumn("_all", F.lit(0)), ["_all"], [F.col(seq)], F.floor(F.col(seq) / width), "_pos"
-    )
+    keys = place(new, seq)
+    step = F.floor(F.col(seq) / width)
+    bucket = F.struct(F.col("fetch"), step.alias("step")) if len(keys) > 1 else step
+    ranked = position(new.withColumn("_all", F.lit(0)), ["_all"], [F.col(k) for k in keys], bucket, "_pos")
     rows = ranked.select(
         (last + F.col("_pos")).alias("id"),
         "title",

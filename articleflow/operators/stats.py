@@ -91,23 +91,35 @@ def quantiles(
 def distribution(
     df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), extended: bool = False
 ) -> DataFrame:
-    """(by..., metric, count, min, mean, quantiles..., max), one row per group and column."""
+    """(by..., metric, count, min, mean, quantiles..., max), one row per group and column.
+
+    A group, or a whole table, without values of a column has count 0 and nulls.
+    """
     by = list(by)
     names = EXTENDED if extended else BASIC
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        by, list(cols), "metric", "_value"
+    # one key that is never null, so a group of nulls is a group like others
+    group = F.struct(F.lit(0).alias("_"), *by).alias("_group")
+    long = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        "_group", list(cols), "metric", "_value"
     )
-    found = quantiles(long, "_value", [QUANTILES[n] for n in names], [*by, "metric"])
+    found = quantiles(long, "_value", [QUANTILES[n] for n in names], ["_group", "metric"])
     picks = [
         F.max(F.when(F.col("ratio") == QUANTILES[n], F.col("quantile"))).alias(n) for n in names
     ]
-    return found.groupBy(*by, "metric").agg(
+    measured = found.groupBy("_group", "metric").agg(
         F.first("n").alias("count"),
         F.first("low").alias("min"),
         F.first("mean").alias("mean"),
         *picks,
         F.first("high").alias("max"),
     )
+    metrics = F.explode(F.array(*map(F.lit, cols))).alias("metric")
+    groups = df.select(group).distinct() if by else df.sparkSession.range(1).select(group)
+    every = groups.select("_group", metrics)
+    names = [c for c in measured.columns if c not in ("_group", "metric", "count")]
+    return every.join(measured, ["_group", "metric"], "left").select(
+        *(F.col(f"_group.{k}").alias(k) for k in by), "metric", F.coalesce("count", F.lit(0)).alias("count"), *names
+    )
 
 
 def rolling_mean(

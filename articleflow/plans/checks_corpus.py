@@ -131,18 +131,29 @@ def schema_profile(spark, d):
     "corpus_normalise",
     """SELECT doc_id::VARCHAR AS id, sha256(replace(text, chr(10), ' ')) AS article_hash,
     len(string_split(text, chr(10))) AS sentences, sha256(split_part(text, chr(10), 1)) AS summary_hash,
-    CASE WHEN quality IS NULL THEN '' ELSE '[' || quality || ']' END AS label FROM documents LEFT JOIN labels USING (doc_id) WHERE lang <> 'es'""",
+    CASE WHEN quality IS NULL THEN '' ELSE '[' || quality || ']' END AS label, 'ok' AS status
+    FROM documents LEFT JOIN labels USING (doc_id) WHERE lang <> 'es'
+    UNION ALL SELECT NULL, NULL, NULL, NULL, '', 'not_list' FROM documents WHERE lang = 'es'""",
 )
 def corpus_normalise(spark, d):
     lines = jsonl.classify(_records(spark, d).withColumn("source_file", F.lit("x")), "raw")
-    lists = lines.where(C.value_type(F.try_variant_get("record", "$.article", "variant")) == "list")
-    return C.normalise(lists, "all").select(
+    return C.normalise(lines, "all").select(
         "id", sha256(F.col("article")).alias("article_hash"),
-        F.size("article_sentences").cast("long").alias("sentences"),
-        sha256(F.col("summary")).alias("summary_hash"), F.coalesce("label", F.lit("")).alias("label"),
+        F.when(F.col("article_sentences").isNotNull(), F.size("article_sentences")).cast("long").alias("sentences"),
+        sha256(F.col("summary")).alias("summary_hash"), F.coalesce("label", F.lit("")).alias("label"), "status",
     )
 
 
+@query(
+    "corpus_line_accounts",
+    """SELECT 'all' AS source_split, 'x' AS source_file, count(*) AS lines, count(*) FILTER (lang <> 'es') AS records,
+    count(*) FILTER (lang = 'es') AS refused FROM documents""",
+)
+def corpus_line_accounts(spark, d):
+    lines = jsonl.classify(_records(spark, d).withColumn("source_file", F.lit("x")), "raw")
+    return C.line_accounts(C.normalise(lines, "all"))
+
+
 @query(
     "identities",
     """SELECT doc_id, CASE WHEN lang = 'en' THEN doc_id::VARCHAR ELSE 'content:' || sha256(to_json({'article': source, 'reference': lang})) END
@@ -259,10 +270,13 @@ def fingerprint(spark, d):
 
 @query(
     "sample_fingerprint",
-    """SELECT sha256(string_agg(sha256('{"item_id":' || item_id || '}'), chr(10) ORDER BY item_id)) AS digest FROM benchmark""",
+    """WITH rows AS (SELECT doc_id AS p, sha256('{"doc_id":' || doc_id || ',"source":"' || source || '"}') AS h FROM documents),
+    one AS (SELECT p // 4096 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM rows GROUP BY p // 4096),
+    two AS (SELECT p // 4096 AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM one GROUP BY p // 4096)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY p)) AS digest FROM two""",
 )
 def sample_fingerprint(spark, d):
-    return C.sample_fingerprint(read(spark, d, "benchmark"), ["item_id"], ["item_id"])
+    return C.sample_fingerprint(read(spark, d, "documents"), ["doc_id", "source"], "doc_id")
 
 
 @query(

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from articleflow.functions.text import sha256
 from articleflow.operators import ingest, quality, users
 from articleflow.plans.catalogue import query
+from articleflow.plans.jobs import run_round
 from articleflow.plans.mapping import DOCUMENTS_SQL, INTERACTIONS_SQL, as_of, document_articles, interactions
+from articleflow.sources.schemas import NEWS_ARTICLES
 from articleflow.sources.tables import read
 
 NOW = "2026-01-01 00:00:00"
@@ -79,8 +81,6 @@ def ingest_match(spark, d):
     FROM judged j JOIN outcome o ON o.seq = j.seq WHERE outcome = 'created'""",
 )
 def ingest_append(spark, d):
-    from articleflow.sources.schemas import NEWS_ARTICLES
-
     arrived = document_articles(spark, d)
     created = ingest.outcomes(arrived, _stored(spark, d), quality.CATEGORIES).where("outcome = 'created'")
     fresh = ingest.with_hash(arrived).join(created.select("seq"), "seq", "left_semi")
@@ -114,6 +114,53 @@ def sources_union(spark, d):
     )
 
 
+TWO_SQL = DOCUMENTS_SQL + """,
+stored AS (SELECT sha256(text) AS h FROM benchmark),
+arrived AS (SELECT CASE WHEN seq % 2 = 0 THEN 'A' ELSE 'B' END AS site, seq % 2 AS part, seq // 2 AS n, title, reason, content_hash FROM judged),
+firsts AS (SELECT content_hash, min(row(part, n)) AS f FROM arrived WHERE reason IS NULL GROUP BY ALL),
+outcome AS (SELECT a.*, CASE WHEN reason IS NOT NULL THEN 'rejected'
+  WHEN f = row(part, n) AND a.content_hash NOT IN (SELECT h FROM stored) THEN 'created' ELSE 'deduped' END AS outcome
+  FROM arrived a LEFT JOIN firsts USING (content_hash))"""
+
+
+def _two_sources(spark, d):
+    """Documents as two sites that both count their rows from zero, and the benchmark as stored articles."""
+    rows = document_articles(spark, d)
+    halves = [
+        rows.where(F.col("seq") % 2 == n).withColumns({"source": F.lit(site), "seq": F.expr("seq div 2")})
+        for n, site in enumerate("AB")
+    ]
+    known = read(spark, d, "benchmark").select(
+        F.col("item_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("content"),
+        sha256(F.col("text")).alias("content_hash"), F.lit("completed").alias("summary_status"),
+    )
+    table = known.select(
+        *(F.col(f.name) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in NEWS_ARTICLES.fields)
+    )
+    none = known.where("false").select(F.col("title").alias("client_id"), F.col("id").alias("news_id"))
+    return run_round(table, none, none, halves, as_of(NOW), skip_summary=True)
+
+
+@query(
+    "two_source_stats",
+    f"""WITH {TWO_SQL} SELECT site AS source, count(*) AS fetched, count(*) FILTER (outcome = 'created') AS created,
+    count(*) FILTER (outcome = 'deduped') AS deduped, count(*) FILTER (outcome = 'rejected') AS rejected
+    FROM outcome GROUP BY site""",
+)
+def two_source_stats(spark, d):
+    return _two_sources(spark, d).crawl_stats
+
+
+@query(
+    "two_source_articles",
+    f"""WITH {TWO_SQL} SELECT item_id AS id, '' AS title, NULL AS source, sha256(text) AS content_hash FROM benchmark UNION ALL
+    SELECT (SELECT max(item_id) FROM benchmark) + row_number() OVER (ORDER BY part, n), title, site, content_hash
+    FROM outcome WHERE outcome = 'created'""",
+)
+def two_source_articles(spark, d):
+    return _two_sources(spark, d).articles.select("id", "title", "source", "content_hash")
+
+
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def content_hash(spark, d):
     return read(spark, d, "documents").select("doc_id", sha256(F.col("text")).alias("content_hash"))

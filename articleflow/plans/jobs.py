@@ -42,25 +42,31 @@ def run_round(
     domain=quality.CATEGORIES,
     make_predict=None,
     model_version: str = "extractive-v1",
-    token_count=None,
+    token_count: Column | None = None,
     **options,
 ) -> Round:
-    """One round over the three tables; ``fetched`` are article rows with ``seq`` per source."""
+    """One round over the three tables; ``fetched`` are article rows, one frame per source with its own ``seq``.
+
+    The summary phase deletes articles above the model's limit, so it wants their ``token_count`` as the model
+    counts; characters are no stand-in.
+    """
+    if not skip_summary and token_count is None:
+        raise ValueError("token_count: a column with the model's token count of an article")
     current = tasks.recover_stale(articles, as_of, stale_minutes)
     result = Round(current, favorites, feedback)
     if not skip_crawl and fetched:
         arrived = ingest.union_sources(fetched)
         judged = ingest.outcomes(arrived, current, domain)
         result.crawl_stats = ingest.stats(judged)
-        created = judged.where("outcome = 'created'").select("seq")
-        fresh = ingest.with_hash(arrived).join(created, "seq", "left_semi")
+        keys = ingest.place(arrived)
+        created = judged.where("outcome = 'created'").select(*keys)
+        fresh = ingest.with_hash(arrived).join(created, keys, "left_semi")
         result.articles = ingest.append(fresh, current, as_of)
     if not skip_summary:
         claimed = cut_lineage(tasks.claim(result.articles, as_of, batch_limit))
         already = result.articles.where("summary_status = 'processing'").select("id")
         mine = claimed.where("summary_status = 'processing'").join(already, "id", "left_anti")
-        size = F.length("content").cast("long") if token_count is None else token_count
-        drafts = summarise.extractive(mine.withColumn("token_count", size), **options)
+        drafts = summarise.extractive(mine.withColumn("token_count", token_count), **options)
         made = cut_lineage(summarise.gate(summarise.batch(drafts, make_predict, model_version)))
         result.summary_stats = tasks.stats(made)
         done = tasks.apply(claimed, made.where("outcome <> 'too_long'"), as_of)

@@ -91,7 +91,8 @@ def batch(
 ) -> DataFrame:
     """Generate summaries for ``extractive`` rows; one failing article never stops a batch.
 
-    ``make_predict`` runs once per task. A failing batch is retried article by article. Without a
+    ``make_predict`` runs once per task. A failing batch, or one with another number of outputs than texts, is
+    retried article by article. Without a
     model the selected text is the summary and the plan stays in the JVM.
     """
     if make_predict is None:
@@ -105,6 +106,8 @@ def batch(
         began = time.perf_counter_ns()
         try:
             made = list(predict(texts))
+            if len(made) != len(texts):
+                raise ValueError(f"{len(made)} outputs for {len(texts)} texts")
             spent = (time.perf_counter_ns() - began) // 1_000_000 // max(1, len(texts))
             return [(m, None, spent) for m in made]
         except Exception as problem:  # a row's failure is its outcome
@@ -115,17 +118,24 @@ def batch(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
         for frame in frames:
-            todo = frame.index[frame["outcome"] == "ok"]
+            outcome, errors = list(frame["outcome"]), list(frame["error"])
+            summaries: list[str | None] = [None] * len(frame)
+            versions: list[str | None] = [None] * len(frame)
+            times = [0] * len(frame)
+            todo = [row for row, state in enumerate(outcome) if state == "ok"]
+            texts = list(frame["selected"])
             made: list[tuple[str | None, str | None, int]] = []
             for at in range(0, len(todo), batch_size):
-                made += attempt(predict, list(frame.loc[todo[at : at + batch_size], "selected"]))
-            out = frame.assign(summary=None, generation_time_ms=0, model_version=None)
-            for row, (summary, error, spent) in zip(todo, made):
-                out.at[row, "generation_time_ms"] = spent
+                made += attempt(predict, [texts[row] for row in todo[at : at + batch_size]])
+            for row, (summary, error, spent) in zip(todo, made, strict=True):
+                times[row] = spent
                 if error is not None or not summary:
-                    out.at[row, "outcome"], out.at[row, "error"] = "failed", error or EMPTY_SUMMARY
+                    outcome[row], errors[row] = "failed", error or EMPTY_SUMMARY
                 else:
-                    out.at[row, "summary"], out.at[row, "model_version"] = summary, model_version
+                    summaries[row], versions[row] = summary, model_version
+            out = frame.assign(
+                outcome=outcome, summary=summaries, generation_time_ms=times, model_version=versions, error=errors
+            )
             yield out[[key, "outcome", "cleaned", "summary", "generation_time_ms", "model_version", "error"]]
 
     kind = df.schema[key].dataType.simpleString()

@@ -53,18 +53,20 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 BYTES_PER_TASK = 8 << 20
+#: What one stage can hold; Spark counts partitions in 32 bits. Tasks grow only beyond eight petabytes.
+MAX_TASKS = 1 << 30
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Place rows by key while they are still compact, so that all later work by key stays local.
 
     The number is given, so adaptive execution does not merge CPU-heavy partitions for being small:
-    all cores for little data, up to ``spark.sql.shuffle.partitions`` by estimated size for more.
+    all cores for little data, as many as the estimated size asks for with more.
     """
     spark = df.sparkSession
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = max(spark.sparkContext.defaultParallelism, estimate // BYTES_PER_TASK)
-    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted), key)
+    return df.repartition(min(wanted, MAX_TASKS), key)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

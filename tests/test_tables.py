@@ -1,11 +1,14 @@
+import hashlib
 import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from articleflow import session
 from articleflow.operators import corpus, evals, ingest, lengths, manifest, quality, reads, sample, stats, tasks, users
 from articleflow.operators.ordering import ordered_scan, position
+from articleflow.plans import summarise
 from articleflow.plans.jobs import run_round
 from articleflow.plans.mapping import as_of
 from articleflow.sources import jsonl, runs, sinks
@@ -177,7 +180,9 @@ def test_round(spark, tmp_path):
     fav = spark.createDataFrame([(1, "a", 2, T)], FAVORITES)
     fb = spark.createDataFrame([], FEEDBACK)
     new = raw(spark, ("新", "公园里有很多人。大家都很高兴。", "国内", "u"), ("坏", "正文", "娱乐", "u"))
-    done = run_round(table, fav, fb, [new], as_of(NOW))
+    with pytest.raises(ValueError):
+        run_round(table, fav, fb, [new], as_of(NOW))
+    done = run_round(table, fav, fb, [new], as_of(NOW), token_count=F.length("content").cast("long"))
     row = done.summary_stats.first()
     assert (row.completed, row.failed, row.deleted) == (2, 1, 1)
     crawl = done.crawl_stats.first()
@@ -297,6 +302,66 @@ def test_runs_skip_unreadable_and_evaluations(spark, tmp_path):
     assert evals.latest(spark.createDataFrame([], MODEL_EVALUATIONS)).count() == 0
 
 
-def test_sample_fingerprint_refuses_large_tables(spark):
+def test_sample_fingerprint_is_a_tree(spark):
+    ids = [0, 1, 2, 5, 9, 10]
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = {i: digest(f'{{"id":{i}}}') for i in ids}
+    for _ in range(2):
+        up = {}
+        for i in sorted(rows):
+            up.setdefault(i // 3, []).append(rows[i])
+        rows = {i: digest("\n".join(v)) for i, v in up.items()}
+    want = digest("\n".join(rows[i] for i in sorted(rows)))
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "id long")
+    assert corpus.sample_fingerprint(df, ["id"], "id", width=3).first().digest == want
+
+
+def test_two_sources_number_their_rows_alone(spark, tmp_path):
+    row = lambda *r: (*r, "u", None)
+    schema = "seq long, title string, content string, category string, source string, source_url string, publish_time timestamp_ntz"
+    a = spark.createDataFrame([(1, *row("一", "甲文", "国内", "A")), (2, *row("二", "乙文", "国内", "A"))], schema)
+    b = spark.createDataFrame([(1, *row("三", "丙文", "娱乐", "B")), (2, *row("四", "甲文", "国内", "B"))], schema)
+    table = articles(spark).limit(0)
+    fav, fb = spark.createDataFrame([], FAVORITES), spark.createDataFrame([], FEEDBACK)
+    loaders = {"A": lambda: a, "broken": lambda: spark.read.text(str(tmp_path / "nothing")), "late": lambda: b.select(F.raise_error(F.lit("gone")).alias("x")), "B": lambda: b}
+    loaded, failed = ingest.fetch_sources(spark, loaders)
+    assert len(loaded) == 2 and set(failed) == {"broken", "late"}
+    done = run_round(table, fav, fb, loaded, as_of(NOW), skip_summary=True)
+    stats = {r.source: (r.fetched, r.created, r.deduped, r.rejected) for r in done.crawl_stats.collect()}
+    assert stats == {"A": (2, 2, 0, 0), "B": (2, 0, 1, 1)}
+    assert [(r.id, r.title) for r in done.articles.orderBy("id").collect()] == [(1, "一"), (2, "二")]
     with pytest.raises(ValueError):
-        corpus.sample_fingerprint(spark.range(corpus.SAMPLE_LIMIT + 1), ["id"], ["id"])
+        ingest.union_sources([])
+
+
+@pytest.mark.parametrize("wrong", [lambda texts: texts[:1], lambda texts: [*texts, "extra"], lambda texts: []])
+def test_a_wrong_number_of_outputs_never_shifts_summaries(spark, wrong):
+    rows = [(i, "ok", f"text {i}", f"text {i}", None) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, outcome string, cleaned string, selected string, error string").coalesce(1)
+    make = lambda: lambda texts: list(texts) if len(texts) == 1 else wrong(texts)
+    got = summarise.batch(df, make, batch_size=2).collect()
+    assert {r.id: r.summary for r in got} == {i: f"text {i}" for i in range(5)}
+    none = summarise.batch(df, lambda: lambda texts: [], batch_size=2).collect()
+    assert {(r.outcome, r.summary) for r in none} == {("failed", None)}
+
+
+def test_normalise_keeps_bad_lines(spark, tmp_path):
+    path = tmp_path / "b.jsonl"
+    path.write_text('{"id": 1, "article": ["x"]}\n{bad\n{"id": 2, "article": "text"}\n', encoding="utf-8")
+    made = corpus.normalise(jsonl.scan(spark, str(path)), "train")
+    assert sorted(r.status for r in made.collect()) == ["json_decode", "not_list", "ok"]
+    account = corpus.line_accounts(made).first()
+    assert (account.lines, account.records, account.refused) == (3, 1, 2)
+
+
+def test_empty_groups_have_a_distribution(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), (None, 3.0)], "k string, v double")
+    got = {r.k: (r["count"], r["mean"]) for r in stats.distribution(df, ["v"], ["k"]).collect()}
+    assert got == {"a": (1, 1.0), "b": (0, None), None: (1, 3.0)}
+    empty = stats.distribution(df.limit(0), ["v"]).collect()
+    assert [(r["count"], r["mean"], r["max"]) for r in empty] == [(0, None, None)]
+
+
+def test_by_key_follows_the_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 1000)
+    assert session.by_key(spark.range(10_000), "id").rdd.getNumPartitions() >= 80
