@@ -92,6 +92,7 @@ def score(predictions: DataFrame, references: DataFrame, key: str = "id") -> Dat
             for k in ORDERS
         ],
     )
+    # Fixed value: the error text of records without a summary.
     error = F.when(
         (F.col("status") == "failed") & (F.col("outcome") == "ok"),
         F.lit("RuntimeError: pipeline_returned_empty_summary"),

@@ -11,6 +11,7 @@ from articleflow.functions.text import sha256
 from articleflow.operators.corpus import identity
 from articleflow.operators.stats import quantiles
 
+# Fixed value: the method text of sample records.
 METHOD = "SHA256(seed + ':' + stable_sample_id) ascending"
 
 

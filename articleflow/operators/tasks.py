@@ -19,6 +19,7 @@ TRANSITIONS = {
     "delete": ("processing", "deleted"),
 }
 ERROR_LIMIT = 500
+# Fixed value: the reason that readers of failed tasks see.
 STALE_REASON = "Worker 异常中断恢复：processing 滞留超过 {minutes:g} 分钟"
 PENDING, PROCESSING, COMPLETED, FAILED, DELETED = range(5)
 

@@ -39,7 +39,7 @@ def encode(
     )
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = sentences.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.join(F.broadcast(seen), "term").select(
+    return counts.join(seen, "term").select(
         key, "sent_idx", "term", (F.col("tf") * F.log((total + 1) / (F.col("df") + 1))).alias("weight")
     )
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from articleflow.operators import quality, reads, tasks, users
+from articleflow.operators.ordering import position
 from articleflow.plans.catalogue import query
 from articleflow.plans.mapping import (
     INTERACTIONS_SQL,
@@ -110,9 +111,10 @@ def favorites_list(spark, d):
 )
 def favorites_of_client(spark, d):
     listed = users.favorites(users.fold_favorites(interactions(spark, d)), orders_articles(spark, d), "8")
-    place = F.monotonically_increasing_id()
-    one = listed.select("news_id", "favorite_id", "title").coalesce(1)
-    return one.withColumn("place", place + 1)
+    rows = listed.select("news_id", "favorite_id", "title", "created_at", F.lit(0).alias("list"))
+    order = [F.col("created_at").desc(), F.col("favorite_id").desc()]
+    placed = position(rows, ["list"], order, -F.unix_date(F.to_date("created_at")), "place")
+    return placed.select("news_id", "favorite_id", "title", F.col("place").cast("long"))
 
 
 @query(
