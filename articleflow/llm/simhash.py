@@ -27,8 +27,12 @@ QUARTERS_FROM = 4_000_000
 BLOCK = 512
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """A bit is set if more than half of the shingles' hashes have it; repeated shingles count each time."""
+def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
+    """A bit is set if more than half of the shingles' hashes have it; repeated shingles count each time.
+
+    A text of fewer than ``exact_below`` shingles gets the hash of its words: the bits of so few shingles say
+    little, so such texts should link only when they are equal.
+    """
     words = text.encode().lower().split()
     if not words:
         return 0
@@ -38,6 +42,8 @@ def fingerprint(text: str, width: int = 4) -> int:
         starts.append(starts[-1] + len(w) + 1)
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
+    if n < exact_below:
+        return digest(joined, SEED)
     last = min(width, len(words))
     hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], starts[last : last + n], strict=True)), np.uint64, n)
     ones = np.zeros(64, np.int64)
@@ -46,7 +52,7 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
+def fingerprints(documents: DataFrame, width: int = 4, exact_below: int = 0) -> DataFrame:
     """doc_id, its fingerprint and its text's hash (as Spark's ``xxhash64``), both signed; null and empty texts have fingerprint zero."""
 
     def signed(numbers: Iterator[int]) -> list[int]:
@@ -54,7 +60,7 @@ def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
 
     def rows(keys: list, texts: list) -> dict[str, list]:
         return {
-            "doc_id": keys, "mark": signed(fingerprint(t, width) for t in texts),
+            "doc_id": keys, "mark": signed(fingerprint(t, width, exact_below) for t in texts),
             "text_hash": signed(xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts),
         }
 
@@ -179,14 +185,14 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, exact_below: int = 0) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), group_id, text_hash.
 
     Null and empty texts, and texts without words, have fingerprint zero and link like others. Documents
     without an id belong to a component but never name it; ``group_id`` tells components apart also where ids
     repeat. Repeated rows stay; other columns are not read.
     """
-    marks = staged(fingerprints(documents, width), "simhash-marks")
+    marks = staged(fingerprints(documents, width, exact_below), "simhash-marks")
     rooted = components(links(marks, radius))
     first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
     known = first.join(rooted, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
@@ -199,13 +205,14 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4) -> Da
     )
 
 
-def one_of_each(documents: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def one_of_each(documents: DataFrame, radius: int = 7, width: int = 5, exact_below: int = 9) -> DataFrame:
     """``documents`` without near duplicates: of each component the row with the smallest doc_id stays.
 
+    With fewer than nine five-word shingles a similarity of 0.8 means equality, hence ``exact_below``.
     Of equal ids the row with the smallest text hash stays, of equal texts one; rows without an id stay only
     where their component has no other. Columns and their values are kept as they are.
     """
-    found = near_duplicates(documents, radius, width)
+    found = near_duplicates(documents, radius, width, exact_below)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     leaders = found.groupBy("group_id").agg(F.min(rank).alias("_first"))
     leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "simhash-leaders")

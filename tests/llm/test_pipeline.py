@@ -22,7 +22,7 @@ def test_stages_in_order(spark):
     model = toxicity.learn(*toxicity.training_sample(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")))
     clean = {d for d, r in given.items() if model.score(model.counts(r["text"] or "")) < 0.3}
     assert set(kept["toxicity"]) == clean and clean != set(given)
-    groups = brute_components([(d, given[d]["text"] or "") for d in clean])
+    groups = brute_components([(d, given[d]["text"] or "") for d in clean], 7, 5, 9)
     assert set(kept["near_duplicates"]) == {d for d, (_, c) in groups.items() if c == d}
     assert set(kept["secrets"]) == set(kept["near_duplicates"])
     for d, r in kept["secrets"].items():

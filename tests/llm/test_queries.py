@@ -201,8 +201,8 @@ def test_secrets(spark, texts, folders):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
-def brute_components(texts):
-    marks = {d: brute_fingerprint(t) for d, t in texts}
+def brute_components(texts, radius=4, width=4, exact_below=0):
+    marks = {d: brute_fingerprint(t, width, exact_below) for d, t in texts}
     root = {d: d for d in marks}
 
     def top(d):
@@ -213,7 +213,7 @@ def brute_components(texts):
     ids = list(marks)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (marks[a] ^ marks[b]).bit_count() <= 4:
+            if (marks[a] ^ marks[b]).bit_count() <= radius:
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
     return {d: (f"{marks[d]:016x}", top(d)) for d in ids}
