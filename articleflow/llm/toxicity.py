@@ -34,8 +34,8 @@ REPORTS = "said says say wrote called claims claimed told quoted sagte schrieb d
 PRIOR_BIAS = -4.0
 PRIOR_WEIGHTS = (4.0, 5.0, 1.0, 1.5, 4.0, 6.0, 1.0, 0.5)
 #: Bound of the training sample, per label; the sample alone is brought to the driver.
-SAMPLE_TOXIC = 2500
-SAMPLE_CLEAN = 4000
+SAMPLE_TOXIC = 1200
+SAMPLE_CLEAN = 2000
 
 SKETCH_BITS = 22
 
