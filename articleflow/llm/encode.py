@@ -12,12 +12,15 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: Words kept by a worker; beyond it the memory starts anew.
-MAX_WORDS = 600_000
+MAX_WORDS = 1_000_000
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\t\r\v\f]")
 #: Byte-level vocabularies spell bytes as letters: printable Latin-1 as itself, the others from U+0100 up in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+BLANK_LETTER = chr(BYTE_LETTERS[0x20])
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
@@ -40,10 +43,20 @@ class Encoder:
         split = {w: (m[1].lower() if lower else m[1], m[2]) for w in words if (m := _PLAIN.fullmatch(w))}
         stems = [s for s in {s for s, _ in split.values()} if s not in known]
         rest = [w for w in {*(words - split.keys()), *(t for _, t in split.values() if t)} if w not in known]
-        spelled = [s.encode().decode("latin-1").translate(BYTE_LETTERS) for s in stems]
-        for tokenizer, new, given in ((self.single, stems, spelled), (self.tokenizer, rest, rest)):
-            for word, found in zip(new, tokenizer.encode_batch_fast(given, add_special_tokens=False), strict=True):
-                known[word] = array("I", found.ids).tobytes()
+        if stems:
+            # one call for all of them; a word's ids end where the next word's begin
+            spelled = [
+                s.replace(" ", BLANK_LETTER) if s.isascii() else s.encode().decode("latin-1").translate(BYTE_LETTERS) for s in stems
+            ]
+            found = self.single.encode(spelled, is_pretokenized=True, add_special_tokens=False)
+            ids = array("I", found.ids).tobytes()
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(stems)), "right") * 4
+            start = 0
+            for stem, end in zip(stems, ends.tolist(), strict=True):
+                known[stem] = ids[start:end]
+                start = end
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[word] = array("I", found.ids).tobytes()
         for word, (stem, tail) in split.items():
             if word not in known:
                 known[word] = known[stem] + known[tail] if tail else known[stem]
