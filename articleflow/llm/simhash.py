@@ -4,11 +4,13 @@ Fingerprints of equal bits meet first. Distinct ones are cut into tiles by the p
 halves (of their quarters when there are many); the counts of two fingerprints differ by no more than their
 bits do, so tile pairs whose counts differ beyond the radius are never formed. Inside a tile pair numpy compares everything with exclusive-or
 and bit counts, and returns a spanning forest of the links in place of all of them.
+
+``one_of_each`` uses no fingerprints: it compares whole shingle sets, found by their rarest shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -16,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from articleflow.llm.common import map_texts, staged
 
@@ -25,6 +28,10 @@ TILE_ROWS = 1024
 #: From so many distinct fingerprints on, quarters give tiles enough rows. Either way finds the same links.
 QUARTERS_FROM = 4_000_000
 BLOCK = 512
+#: Shingle sets are near copies from this similarity on (common over all), as a fraction.
+ALIKE = (4, 5)
+#: Shingles in a tile of sets, about.
+TILE_SHINGLES = 1 << 17
 
 
 def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
@@ -205,23 +212,133 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, exact
     )
 
 
-def one_of_each(documents: DataFrame, radius: int = 7, width: int = 5, exact_below: int = 9) -> DataFrame:
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; fewer than ``width`` words are one shingle, no words none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    mixed = np.full(n, width, np.uint64)
+    for i in range(width):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return np.unique(mixed.view(np.int64))
+
+
+def _set_mark(shingles: np.ndarray) -> int:
+    """A signed hash that names a shingle set; zero for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64)) if len(shingles) else 0
+
+
+def _alike_forest(a: tuple[np.ndarray, list], b: tuple[np.ndarray, list], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(mark, root) of all sets with a link in a pair of tiles (marks, shingle sets): exact similarity of ``ALIKE`` or more."""
+    marks = a[0] if same else np.concatenate([a[0], b[0]])
+    offset = 0 if same else len(a[0])
+    sizes = np.array([len(x) for x in b[1]])
+    values = np.concatenate(b[1])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    label = np.arange(len(marks))
+    for i, x in enumerate(a[1]):
+        if (label[offset:] == label[i]).all():
+            continue
+        low = np.searchsorted(values, x, "left")
+        runs = np.searchsorted(values, x, "right") - low
+        at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+        common = np.bincount(owners[at], minlength=len(sizes))
+        # common / (both - common) >= up / down
+        near = (ALIKE[0] + ALIKE[1]) * common >= ALIKE[0] * (len(x) + sizes)
+        met = np.append(label[offset:][near], label[i])
+        label[np.isin(label, met)] = met.min()
+    at = np.flatnonzero(label != np.arange(len(marks)))
+    return marks[at], marks[label[at]]
+
+
+def alike_links(sets: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) between different shingle sets, enough to connect all pairs whose similarity is ``ALIKE`` or more.
+
+    ``sets`` has mark and size, ``shingles(wanted)`` gives mark and shingles of the marks in ``wanted``. Every set lists
+    its shingles from the rarest on; two sets alike share one among the first ``size - ceil(0.8 * size) + 1``, so
+    groups joined by those hold every pair. Inside a group sets are compared exactly, in tiles of bounded bytes.
+    """
+    up, down = ALIKE
+    listed = shingles(sets).select("mark", F.explode("shingles").alias("token"))
+    # a shingle is in no more rows than there are sets
+    shared = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    shared = shared.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    first = F.col("size") - F.floor((F.col("size") * up + down - 1) / down) + 1 - (F.col("size") - F.size("shared"))
+    prefixes = shared.join(sets, "mark").withColumn("_first", first.cast("int")).where("_first > 0").select(
+        "mark", F.explode(F.slice("shared", F.lit(1), F.col("_first"))["token"]).alias("token")
+    )
+    prefixes = staged(prefixes, "alike-prefixes")
+    least = prefixes.groupBy("token").agg(F.min("mark").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = components(prefixes.join(least, "token").select(F.col("mark").alias("u"), "v"))
+    members = staged(groups.withColumnRenamed("node", "mark").join(sets, "mark"), "alike-members")
+    cuts = members.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("_cuts"))
+    cuts = staged(cuts, "alike-cuts")
+    placed = members.join(cuts, "root").select("mark", "root", F.pmod(F.xxhash64("mark"), F.col("_cuts")).cast("int").alias("cut"))
+    tiles = staged(
+        shingles(members.select("mark")).join(placed, "mark").groupBy("root", "cut").agg(F.collect_list(F.struct("mark", "shingles")).alias("sets")),
+        "alike-tiles",
+    )
+    pairs = cuts.select("root", "_cuts", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)).alias("left")).select(
+        "root", "left", F.explode(F.sequence(F.col("left"), F.col("_cuts") - 1)).alias("right")
+    )
+    work = (
+        pairs.join(tiles.select("root", F.col("cut").alias("left"), F.col("sets").alias("a")), ["root", "left"])
+        .join(tiles.select("root", F.col("cut").alias("right"), F.col("sets").alias("b")), ["root", "right"])
+        .select((F.col("left") == F.col("right")).alias("same"), "a", "b")
+    )
+
+    def tile(sets: pa.Array) -> tuple[np.ndarray, list]:
+        lists = sets.field("shingles")
+        return sets.field("mark").to_numpy(), [lists[i].values.to_numpy() for i in range(len(lists))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (tile(batch.column(k)[i].values) for k in (1, 2))
+                u, v = _alike_forest(a, b, batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return work.mapInArrow(run, "u long, v long")
+
+
+def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     """``documents`` without near duplicates: of each component the row with the smallest doc_id stays.
 
-    With fewer than nine five-word shingles a similarity of 0.8 means equality, hence ``exact_below``.
-    Of equal ids the row with the smallest text hash stays, of equal texts one; rows without an id stay only
-    where their component has no other. Columns and their values are kept as they are.
+    Rows are linked when the sets of their shingles are alike by ``ALIKE`` or more, compared exactly; links chain.
+    Texts without words are alike. Of equal ids the row with the smallest text hash stays, of equal texts one; rows
+    without an id stay only where their component has no other. Columns and their values are kept as they are.
     """
-    found = near_duplicates(documents, radius, width, exact_below)
+
+    def marks(keys: list, texts: list) -> dict[str, list]:
+        sets = [shingle_set(t, width) for t in texts]
+        hashes = np.array([xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts], np.uint64).view(np.int64)
+        return {"doc_id": keys, "mark": [_set_mark(s) for s in sets], "size": [len(s) for s in sets], "text_hash": hashes.tolist()}
+
+    found = staged(map_texts(documents, "doc_id", "text", "doc_id long, mark long, size long, text_hash long", marks), "shingle-marks")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    leaders = found.groupBy("group_id").agg(F.min(rank).alias("_first"))
-    leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "simhash-leaders")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    kept = documents.withColumn("_hash", text_hash).join(leaders, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    repeats = (
-        found.join(leaders, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h")), "left_semi")
-        .groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
-    )
-    if repeats:  # the same id with the same text: only then is it worth moving texts
+    firsts = staged(found.groupBy("mark").agg(F.min(rank).alias("_first"), F.min("size").alias("size")), "shingle-sets")
+    # the same id with the same text: only then is it worth moving texts
+    repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    hashed = documents.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+
+    def shingles(wanted: DataFrame) -> DataFrame:
+        of = firsts.join(wanted.select("mark"), "mark", "left_semi").select("mark", F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h"))
+        texts = hashed.select("doc_id", "text", "_hash").join(of, same).select("mark", "text")
+        if repeats:
+            texts = texts.dropDuplicates(["mark"])
+        rows = lambda keys, texts: {"mark": keys, "shingles": [shingle_set(t, width) for t in texts]}
+        return map_texts(texts, "mark", "text", "mark long, shingles array<long>", rows)
+
+    links = alike_links(firsts.where("size > 0").select("mark", "size"), shingles)
+    rooted = firsts.join(components(links).withColumnRenamed("node", "mark"), "mark", "left")
+    leaders = rooted.groupBy(F.coalesce("root", "mark")).agg(F.min("_first").alias("_first"))
+    leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "shingle-leaders")
+    kept = hashed.join(leaders, same, "left_semi")
+    if repeats:
         kept = kept.dropDuplicates(["doc_id", "_hash"])
     return kept.select(documents.columns)

@@ -241,6 +241,43 @@ def test_one_of_each(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(want, key=str)
 
 
+def brute_one_of_each(rows):
+    """Smallest id of each component of exact five-word-shingle similarity 0.8 or more."""
+    sets, root = {}, {}
+    for d, t in rows:
+        words = t.lower().split()
+        sets[d], root[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}, d
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {d for d in sets if top(d) == d}
+
+
+@pytest.mark.parametrize("tile", [200, 1 << 17])
+def test_one_of_each_is_exact(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):  # copies with a few words replaced, on both sides of 0.8, and a line that all have
+        base = [f"w{k}" for k in rng.integers(0, 400, int(rng.integers(30, 120)))] + "one line that is in all of these texts".split()
+        for _ in range(6):
+            words = list(base)
+            for k in rng.integers(0, len(words), int(rng.integers(0, max(2, len(words) // 20)))):
+                words[k] = f"x{rng.integers(0, 1 << 30)}"
+            rows.append((len(rows), " ".join(words), "en", "s", 1))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCUMENTS).repartition(4)).collect()}
+    want = brute_one_of_each([(r[0], r[1]) for r in rows])
+    assert kept == want and 12 < len(want) < len(rows)
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = defaultdict(list)
