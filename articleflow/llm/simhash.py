@@ -37,8 +37,8 @@ TILE_SHINGLES = 1 << 17
 def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
     """A bit is set if more than half of the shingles' hashes have it; repeated shingles count each time.
 
-    A text of fewer than ``exact_below`` shingles gets the hash of its words: the bits of so few shingles say
-    little, so such texts should link only when they are equal.
+    A text of fewer than ``exact_below`` shingles gets the hash of its words, so it links only when equal. Such texts
+    can still be alike by 0.8 (9 and 8 words are by 4/5), so ``one_of_each`` compares shingle sets instead.
     """
     words = text.encode().lower().split()
     if not words:
@@ -59,7 +59,7 @@ def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame, width: int = 4, exact_below: int = 0) -> DataFrame:
+def fingerprints(documents: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, its fingerprint and its text's hash (as Spark's ``xxhash64``), both signed; null and empty texts have fingerprint zero."""
 
     def signed(numbers: Iterator[int]) -> list[int]:
@@ -67,7 +67,7 @@ def fingerprints(documents: DataFrame, width: int = 4, exact_below: int = 0) ->
 
     def rows(keys: list, texts: list) -> dict[str, list]:
         return {
-            "doc_id": keys, "mark": signed(fingerprint(t, width, exact_below) for t in texts),
+            "doc_id": keys, "mark": signed(fingerprint(t, width) for t in texts),
             "text_hash": signed(xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts),
         }
 
@@ -192,14 +192,14 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     )
 
 
-def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, exact_below: int = 0) -> DataFrame:
+def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), group_id, text_hash.
 
     Null and empty texts, and texts without words, have fingerprint zero and link like others. Documents
     without an id belong to a component but never name it; ``group_id`` tells components apart also where ids
     repeat. Repeated rows stay; other columns are not read.
     """
-    marks = staged(fingerprints(documents, width, exact_below), "simhash-marks")
+    marks = staged(fingerprints(documents, width), "simhash-marks")
     rooted = components(links(marks, radius))
     first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
     known = first.join(rooted, F.col("mark") == F.col("node"), "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))

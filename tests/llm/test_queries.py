@@ -278,6 +278,15 @@ def test_one_of_each_is_exact(spark, monkeypatch, tile):
     assert kept == want and 12 < len(want) < len(rows)
 
 
+def test_one_of_each_short_texts(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    texts = [word("a", 9), word("a", 8), word("b", 12), word("b", 11), word("c", 13), word("c", 12), word("d", 8), word("d", 7),
+             "e f g h i " * 2, "e f g h i " * 3, word("j", 4), word("j", 3)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    assert kept == brute_one_of_each([(r[0], r[1]) for r in rows]) == {0, 2, 4, 6, 7, 8, 10, 11}
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = defaultdict(list)
