@@ -1,16 +1,16 @@
 """Packing of token sequences by balanced attention cost.
 
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``. Pieces in descending cost go to the cheapest
-sequence that still has room for them, or, when none of the cheapest few has, are cut to fill the cheapest.
+sequence that still has room for them, or, when none of the pool has, are cut to fill the cheapest.
 A task packs the documents it reads, pool by pool, so nothing is shuffled and memory stays bounded.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,8 +21,6 @@ from articleflow.llm.encode import encoder
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens that wait to be packed together; the last pool of a task is smaller.
 POOL_TOKENS = 1 << 20
-#: How many of the cheapest sequences are tried before a piece is cut.
-TRIES = 16
 PARTS_BIT = 33
 DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, ids binary"
 
@@ -55,25 +53,17 @@ def rooms(total: int, capacity: int) -> list[int]:
 
 def pack(pieces: list[Piece], capacity: int) -> list[list[Piece]]:
     """Sequences of pieces; their lengths are those of ``rooms``."""
-    room = rooms(sum(map(len, pieces)), capacity)
+    room = np.array(rooms(sum(map(len, pieces)), capacity), np.int64)
+    spent = np.zeros(len(room))
     sequences: list[list[Piece]] = [[] for _ in room]
-    heap = [(0.0, i) for i in range(len(room))]
     for piece in sorted(pieces, key=lambda p: (-cost(len(p)), p.doc is None, p.doc or 0, p.start, p.ids)):
         while len(piece):
-            tried = []
-            while heap and len(tried) < TRIES:
-                tried.append(heapq.heappop(heap))
-                if room[tried[-1][1]] >= len(piece):
-                    break
-            fits = room[tried[-1][1]] >= len(piece)
-            spent, at = tried.pop() if fits else tried.pop(0)
-            for entry in tried:
-                heapq.heappush(heap, entry)
-            part, piece = piece.cut(min(len(piece), room[at]))
+            fits = room >= len(piece)
+            at = int(np.where(fits if fits.any() else room > 0, spent, np.inf).argmin())
+            part, piece = piece.cut(min(len(piece), int(room[at])))
             sequences[at].append(part)
             room[at] -= len(part)
-            if room[at]:
-                heapq.heappush(heap, (spent + cost(len(part)), at))
+            spent[at] += cost(len(part))
     return sequences
 
 

@@ -141,6 +141,21 @@ def test_packing_fills_every_sequence():
         assert not full or max(full) <= 2 * packing.cost(64)
 
 
+def test_packing_cuts_only_what_fits_nowhere():
+    random.seed(6)
+    given = [packing.Piece(i, 0, 0, bytes(4 * random.randint(1, 1023))) for i in range(600)]
+    packed = packing.pack(given, 1024)
+    room, cuts = packing.rooms(sum(map(len, given)), 1024), 0
+    spent = [0.0] * len(room)
+    for n in sorted(map(len, given), reverse=True):
+        while n:
+            fits = [i for i, r in enumerate(room) if r >= n]
+            at = min(fits or [i for i, r in enumerate(room) if r], key=lambda i: (spent[i], i))
+            part = min(n, room[at])
+            n, room[at], spent[at], cuts = n - part, room[at] - part, spent[at] + packing.cost(part), cuts + (part < n)
+    assert sum(map(len, packed)) == len(given) + cuts
+
+
 def brute_fingerprint(text, width=4, exact_below=0):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
