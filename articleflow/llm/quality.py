@@ -23,7 +23,8 @@ BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "capital_share", "loud_share", "digit_share")
-CUTS = 32
+#: Quantiles of each group of rows that become limits; four groups a feature.
+CUTS = 64
 MAX_RULES, MAX_CONDITIONS = 10, 4
 #: A rule must be this pure on rows it was not grown on, and cover that many low ones there.
 LEAST_PURITY, LEAST_COVER = 0.95, 5
@@ -150,10 +151,17 @@ def learn(statistics: DataFrame, labels: DataFrame, features: Sequence[str] = FE
         statistics.join(known, "doc_id").select(*(F.col(f).cast("double").alias(f) for f in features), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("_third"), "_quality"),
         "quality-rows",
     )
-    limits = joined.agg(*(
-        F.array_sort(F.array_distinct(F.percentile_approx(f, [i / CUTS for i in range(1, CUTS)], 10000))).alias(f) for f in features
-    )).first()
-    if limits[0] is None:
+    def cuts(value: Column) -> Column:
+        return F.coalesce(F.percentile_approx(value, [i / CUTS for i in range(CUTS)], 10000), F.array().cast("array<double>"))
+
+    def limits_of(feature: str) -> Column:
+        """Quantiles of all rows, of low ones, and of both where the value is not zero: mostly-zero statistics have limits in their tails."""
+        value, low = F.col(feature), F.col("_quality") == 0
+        groups = (value, F.when(low, value), F.when(value != 0, value), F.when(low & (value != 0), value))
+        return F.array_sort(F.array_distinct(F.concat(*map(cuts, groups))))
+
+    limits = joined.agg(*(limits_of(f).alias(f) for f in features)).first()
+    if not limits[0]:
         return []
 
     def bin_of(feature: str) -> Column:

@@ -316,6 +316,16 @@ def test_quality_rules_are_learned(spark):
     assert quality.learn(stats.limit(0), labels, ("x", "y")) == []
 
 
+def test_quality_rules_of_a_rare_kind(spark):
+    rows = [(i, 0.0 if i % 50 > 1 else 0.1 + i / 30000 if i % 50 else 0.6 + i / 30000) for i in range(3000)]
+    stats = spark.createDataFrame(rows, "doc_id long, x double")
+    labels = spark.createDataFrame([(i, int(x < 0.5)) for i, x in rows], "doc_id long, quality int")
+    rules = quality.learn(stats, labels, ("x",))
+    dropped = {r["doc_id"] for r in stats.where(~quality.verdict(rules)).collect()}
+    low = {i for i, x in rows if x >= 0.5}
+    assert dropped <= low and len(dropped) >= 0.9 * len(low)
+
+
 def test_quality_keeps_clean_documents(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     rows = [r for r in queries_native.op8(spark, FOLDER).collect() if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
