@@ -50,6 +50,8 @@ def with_hash(df: DataFrame) -> DataFrame:
 def first_copies(df: DataFrame, seq: str = "seq") -> DataFrame:
     """(content_hash, first_seq, copies), with first_fetch for several sources: hashes only, combined before the shuffle."""
     keys = place(df, seq)
+    if len(keys) == 1:  # a number alone is combined by hash, a pair of them needs a sort
+        return df.groupBy("content_hash").agg(F.min(seq).alias("first_seq"), F.count(F.lit(1)).alias("copies"))
     found = df.groupBy("content_hash").agg(F.min(F.struct(*keys)).alias("_first"), F.count(F.lit(1)).alias("copies"))
     names = ["first_seq" if k == seq else f"first_{k}" for k in keys]
     return found.select("content_hash", *(F.col(f"_first.{k}").alias(n) for k, n in zip(keys, names)), "copies")

@@ -53,20 +53,33 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 BYTES_PER_TASK = 8 << 20
-#: What one stage can hold; Spark counts partitions in 32 bits. Tasks grow only beyond eight petabytes.
-MAX_TASKS = 1 << 30
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that a plan reads, each relation once; None when it reads none.
+
+    Only files have a size that is known before a run: estimates of joins multiply their sides, and local rows
+    count as endless.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().startswith("LogicalRelation"):
+            sizes[leaf.relation().hashCode()] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values()) if sizes else None
 
 
 def by_key(df: DataFrame, key: str) -> DataFrame:
     """Place rows by key while they are still compact, so that all later work by key stays local.
 
-    The number is given, so adaptive execution does not merge CPU-heavy partitions for being small:
-    all cores for little data, as many as the estimated size asks for with more.
+    The number is given where files tell it, so adaptive execution does not merge CPU-heavy partitions for being
+    small: all cores for little data, as many as the files ask for with more. Otherwise the session's number holds.
     """
-    spark = df.sparkSession
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = max(spark.sparkContext.defaultParallelism, estimate // BYTES_PER_TASK)
-    return df.repartition(min(wanted, MAX_TASKS), key)
+    size = source_bytes(df)
+    if size is None:
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK), key)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

@@ -66,3 +66,25 @@ def test_spread_leaves_large_scans_alone(spark):
     wide = spark.range(0, 100, 1, 64)
     assert spread(wide, "id") is wide
     assert spread(read(spark, FOLDER, "documents"), "doc_id").rdd.getNumPartitions() == 8
+
+
+def test_by_key_follows_the_files(spark, monkeypatch):
+    from articleflow import session
+
+    documents, orders = read(spark, FOLDER, "documents"), read(spark, FOLDER, "orders")
+    cores = spark.sparkContext.defaultParallelism
+    number = lambda df, key: int(re.search(r"partitioning\(\w+#\d+L?, (\d+)\)", plan(session.by_key(df, key)))[1])
+    assert number(documents, "doc_id") == cores
+    monkeypatch.setattr(session, "BYTES_PER_TASK", 1000)
+    alone = session.source_bytes(documents)
+    assert number(documents, "doc_id") == alone // 1000 > 10 * cores
+    joined = documents.join(orders, documents.doc_id == orders.o_orderkey).join(documents.select("doc_id"), "doc_id")
+    assert session.source_bytes(joined) == alone + session.source_bytes(orders)
+    rows = spark.createDataFrame([(1, "a")], "id long, t string")
+    assert session.source_bytes(rows) is None and number(rows, "id") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["rouge_overlap", "rouge_1", "eval_score", "extractive_outcomes", "batch_generate"])
+def test_texts_are_placed_in_a_few_tasks_per_core(spark, name):
+    counts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", of(spark, name))]
+    assert all(n <= 4 * spark.sparkContext.defaultParallelism for n in counts)

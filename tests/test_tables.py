@@ -5,7 +5,6 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from articleflow import session
 from articleflow.operators import corpus, evals, ingest, lengths, manifest, quality, reads, sample, stats, tasks, users
 from articleflow.operators.ordering import ordered_scan, position
 from articleflow.plans import summarise
@@ -360,8 +359,3 @@ def test_empty_groups_have_a_distribution(spark):
     assert got == {"a": (1, 1.0), "b": (0, None), None: (1, 3.0)}
     empty = stats.distribution(df.limit(0), ["v"]).collect()
     assert [(r["count"], r["mean"], r["max"]) for r in empty] == [(0, None, None)]
-
-
-def test_by_key_follows_the_size(spark, monkeypatch):
-    monkeypatch.setattr(session, "BYTES_PER_TASK", 1000)
-    assert session.by_key(spark.range(10_000), "id").rdd.getNumPartitions() >= 80
