@@ -26,5 +26,6 @@ def load() -> None:
     from articleflow.llm import (  # noqa: F401
         queries_filters,
         queries_native,
+        queries_search,
         queries_tokens,
     )
