@@ -10,12 +10,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-#: Words kept by a worker; beyond it the memory starts anew.
-MAX_WORDS = 1_000_000
+#: Bytes of the words that a worker remembers, about; beyond it the memory starts anew. Longer words are not remembered.
+MAX_BYTES = 256 << 20
+LONGEST_KEPT = 64
+#: Characters of texts whose words are learned together.
+CHUNK_CHARS = 1 << 18
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\t\r\v\f]")
 #: Byte-level vocabularies spell bytes as letters: printable Latin-1 as itself, the others from U+0100 up in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,6 +41,7 @@ class Encoder:
         self.single = Tokenizer(self.tokenizer.model)
         self.blanks = blanks
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: set[str]) -> None:
         known = self.known
@@ -61,27 +67,59 @@ class Encoder:
             if word not in known:
                 known[word] = known[stem] + known[tail] if tail else known[stem]
 
+    def _words(self, text: str) -> list[str] | None:
+        """What a text is joined from; None for texts that only the library can cut."""
+        if not self.blanks:
+            return text.replace("\n", " ").split(" ")
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or "\0" in text or _ODD.search(text):
+            return None
+        # a single line end between words is a piece of its own, several are left inside a word
+        lines = text if "\n\n" in text or text[0] == "\n" or text[-1] == "\n" else text.replace("\n", "\0\n\0")
+        return lines.replace(" ", "\0 ").split("\0")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        made: list[bytes] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= CHUNK_CHARS or i + 1 == len(texts):
+                made += self._chunk(texts[first : i + 1])
+                first, size = i + 1, 0
+        return made
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.blanks:
-            if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _ODD.search(text):
-                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            first, *rest = text.split(" ")
-            words = [first, *[f" {w}" for w in rest]]
-        else:
-            words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known = self.known
-            if len(known) > MAX_WORDS:
-                known.clear()
-            self._learn({w for w in words if w not in known})
-            return b"".join(map(known.__getitem__, words))
+        return self._chunk([text])[0]
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        if self.held > MAX_BYTES:
+            self.known.clear()
+            self.held = 0
+        cut = [self._words(t) if t else [] for t in texts]
+        new = set().union(*(c for c in cut if c is not None)).difference(self.known)
+        before = len(self.known)
+        if new:
+            self._learn(new)
+        find = self.known.__getitem__
+        made = [
+            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if c is None else b"".join(map(find, c))
+            for t, c in zip(texts, cut, strict=True)
+        ]
+        for word in [w for w in new if len(w) > LONGEST_KEPT]:
+            self.known.pop(word, None)
+            self.known.pop(word.rstrip(".,;:!?"), None)
+        self.held += max(0, len(self.known) - before) * (150 + 2 * LONGEST_KEPT)
+        return made
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str, blanks: bool) -> Encoder:
     return Encoder(path, blanks)
+
+
+def encoded_rows(batch: pa.RecordBatch, encode_all: Callable[[list[str]], list[bytes]], step: int = 256) -> Iterator[tuple[int | None, bytes]]:
+    """(id, ids of the text) of a batch with an id and a text; null texts are empty. So many rows are held at a time."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        texts = [t or "" for t in part.column(1).to_pylist()]
+        yield from zip(part.column(0).to_pylist(), encode_all(texts), strict=True)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from articleflow.llm.common import arrow_schema
-from articleflow.llm.encode import encoder
+from articleflow.llm.encode import encoded_rows, encoder
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens that wait to be packed together; the last pool of a task is smaller.
@@ -81,7 +81,7 @@ def pack_documents(
     tail = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, encode = arrow_schema(DDL), encoder(tokenizer_path, blanks).encode
+        schema, encode_all = arrow_schema(DDL), encoder(tokenizer_path, blanks).encode_all
         first = TaskContext.get().partitionId() << PARTS_BIT
         used, pool, waiting = 0, [], 0
         rows: list[tuple] = []
@@ -100,8 +100,8 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(made, schema=schema)
 
         for given in batches:
-            for doc, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + tail
+            for doc, encoded in encoded_rows(given, encode_all):
+                ids = encoded + tail
                 left = Piece(doc, 0, len(ids) // 4, ids)
                 while len(left) >= capacity:
                     part, left = left.cut(capacity)

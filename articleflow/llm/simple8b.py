@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from articleflow.llm.encode import encoder
+from articleflow.llm.encode import encoded_rows, encoder
 
 #: (ids, bits each) by selector, from 1 up; selector 0 is an escape that holds an index of the exceptions.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -89,7 +89,7 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, blanks: bool, en
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, schema = encoder(tokenizer_path, blanks).encode, _schema()
+        encode_all, schema = encoder(tokenizer_path, blanks).encode_all, _schema()
         part, block, first = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         held: list[bytes] = []
@@ -101,9 +101,9 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, blanks: bool, en
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for given in batches:
-            for doc, text in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
+            for doc, encoded in encoded_rows(given, encode_all):
                 docs.append(doc)
-                held.append(encode(text or "") + tail)
+                held.append(encoded + tail)
                 size += len(held[-1]) // 4
                 if size >= BLOCK_IDS:
                     yield made()
