@@ -5,7 +5,7 @@ halves (of their quarters when there are many); the counts of two fingerprints d
 bits do, so tile pairs whose counts differ beyond the radius are never formed. Inside a tile pair numpy compares everything with exclusive-or
 and bit counts, and returns a spanning forest of the links in place of all of them.
 
-``one_of_each`` uses no fingerprints: it compares whole shingle sets, found by their rarest shingles.
+``one_of_each`` uses no fingerprints: it compares whole shingle sets, found by a fifth of their shingles, rare ones first.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,14 +33,12 @@ BLOCK = 512
 ALIKE = (4, 5)
 #: Shingles in a tile of sets, about.
 TILE_SHINGLES = 1 << 17
+#: Slots of the sketch of shingle counts, and slices that it is added in, as powers of two.
+SKETCH_BITS, SLICE_BITS = 19, 4
 
 
-def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
-    """A bit is set if more than half of the shingles' hashes have it; repeated shingles count each time.
-
-    A text of fewer than ``exact_below`` shingles gets the hash of its words, so it links only when equal. Such texts
-    can still be alike by 0.8 (9 and 8 words are by 4/5), so ``one_of_each`` compares shingle sets instead.
-    """
+def fingerprint(text: str, width: int = 4) -> int:
+    """A bit is set if more than half of the shingles' hashes have it; repeated shingles count each time."""
     words = text.encode().lower().split()
     if not words:
         return 0
@@ -49,8 +48,6 @@ def fingerprint(text: str, width: int = 4, exact_below: int = 0) -> int:
         starts.append(starts[-1] + len(w) + 1)
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    if n < exact_below:
-        return digest(joined, SEED)
     last = min(width, len(words))
     hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], starts[last : last + n], strict=True)), np.uint64, n)
     ones = np.zeros(64, np.int64)
@@ -180,8 +177,9 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
             large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
             .unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        now = staged(small, "stars")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        now = staged(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "stars")
+        state = seen.get
         if state == before:
             break
         before = state
@@ -255,23 +253,19 @@ def _alike_forest(a: tuple[np.ndarray, list], b: tuple[np.ndarray, list], same:
     return marks[at], marks[label[at]]
 
 
-def alike_links(sets: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def prefix_length(size: int) -> int:
+    """Of two sets alike by ``ALIKE`` and of any fixed order of shingles: so many first ones of each have one in common."""
+    up, down = ALIKE
+    return size - -(-size * up // down) + 1
+
+
+def alike_links(sets: DataFrame, prefixes: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (u, v) between different shingle sets, enough to connect all pairs whose similarity is ``ALIKE`` or more.
 
-    ``sets`` has mark and size, ``shingles(wanted)`` gives mark and shingles of the marks in ``wanted``. Every set lists
-    its shingles from the rarest on; two sets alike share one among the first ``size - ceil(0.8 * size) + 1``, so
-    groups joined by those hold every pair. Inside a group sets are compared exactly, in tiles of bounded bytes.
+    ``sets`` has mark and size, ``prefixes`` mark and token: the first ``prefix_length`` shingles of each set in one fixed
+    order. Two sets alike share one of those, so groups joined by them hold every pair. Inside a group sets are
+    compared exactly, in tiles of bounded bytes; ``shingles(wanted)`` gives mark and shingles of the marks in ``wanted``.
     """
-    up, down = ALIKE
-    listed = shingles(sets).select("mark", F.explode("shingles").alias("token"))
-    # a shingle is in no more rows than there are sets
-    shared = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    shared = shared.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    first = F.col("size") - F.floor((F.col("size") * up + down - 1) / down) + 1 - (F.col("size") - F.size("shared"))
-    prefixes = shared.join(sets, "mark").withColumn("_first", first.cast("int")).where("_first > 0").select(
-        "mark", F.explode(F.slice("shared", F.lit(1), F.col("_first"))["token"]).alias("token")
-    )
-    prefixes = staged(prefixes, "alike-prefixes")
     least = prefixes.groupBy("token").agg(F.min("mark").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     groups = components(prefixes.join(least, "token").select(F.col("mark").alias("u"), "v"))
     members = staged(groups.withColumnRenamed("node", "mark").join(sets, "mark"), "alike-members")
@@ -305,6 +299,80 @@ def alike_links(sets: DataFrame, shingles: Callable[[DataFrame], DataFrame]) ->
     return work.mapInArrow(run, "u long, v long")
 
 
+def _measured_sets(documents: DataFrame, width: int) -> DataFrame:
+    """doc_id, mark, size, text_hash of every row, and from every task a sketch of how many of its texts hold a shingle.
+
+    A sketch is a table of fixed size over hashes; its slices have rows of their own (slice, counts).
+    """
+    rows = 1 << SKETCH_BITS - SLICE_BITS
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "mark", "size", "text_hash", "slice")] + [("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            marks, sizes = [], []
+            for text in texts:
+                shingles = shingle_set(text, width)
+                marks.append(_set_mark(shingles))
+                sizes.append(len(shingles))
+                np.add.at(sketch, _slots(shingles), 1)
+            hashes = np.array([xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.binary())], schema=schema)
+        if sketch.any():
+            parts = sketch.reshape(-1, rows)
+            blank = [pa.nulls(len(parts), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts])], schema=schema)
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, mark long, size long, text_hash long, slice long, counts binary"
+    )
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _levels(found: DataFrame) -> np.ndarray:
+    """How often shingles of a slot occur in all texts, in powers of the square root of two: a byte a slot, so of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(blob, np.int64)
+                sums[k] = sums[k] + counts if k in sums else counts
+        if sums:
+            levels = [(2 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels)], names=["slice", "levels"])
+
+    parts = found.where("slice IS NOT NULL").select("slice", "counts").repartition(1 << SLICE_BITS, "slice").mapInArrow(run, "slice long, levels binary")
+    made = np.zeros(1 << SKETCH_BITS, np.uint8)
+    rows = 1 << SKETCH_BITS - SLICE_BITS
+    for r in parts.toLocalIterator():
+        made[r["slice"] * rows : (r["slice"] + 1) * rows] = np.frombuffer(r["levels"], np.uint8)
+    return made
+
+
+def _prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """mark, token: the first shingles of every set, rare ones first by the levels, then by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, lists = batch.column(0).to_numpy(), batch.column(1)
+            for at in range(0, len(marks), 512):
+                firsts = []
+                for i in range(at, min(at + 512, len(marks))):
+                    shingles = lists[i].values.to_numpy()
+                    order = np.argsort(levels[_slots(shingles)], kind="stable")  # sets are sorted by value
+                    firsts.append(shingles[order[: prefix_length(len(shingles))]])
+                owners = np.repeat(marks[at : at + 512], [len(f) for f in firsts])
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(firsts))], names=["mark", "token"])
+
+    return sets.mapInArrow(run, "mark long, token long")
+
+
 def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     """``documents`` without near duplicates: of each component the row with the smallest doc_id stays.
 
@@ -313,12 +381,9 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     without an id stay only where their component has no other. Columns and their values are kept as they are.
     """
 
-    def marks(keys: list, texts: list) -> dict[str, list]:
-        sets = [shingle_set(t, width) for t in texts]
-        hashes = np.array([xxhash.xxh64_intdigest(t.encode(), SEED) for t in texts], np.uint64).view(np.int64)
-        return {"doc_id": keys, "mark": [_set_mark(s) for s in sets], "size": [len(s) for s in sets], "text_hash": hashes.tolist()}
-
-    found = staged(map_texts(documents, "doc_id", "text", "doc_id long, mark long, size long, text_hash long", marks), "shingle-marks")
+    found = staged(_measured_sets(documents, width), "shingle-marks")
+    levels = _levels(found)
+    found = found.where("slice IS NULL").drop("slice", "counts")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     firsts = staged(found.groupBy("mark").agg(F.min(rank).alias("_first"), F.min("size").alias("size")), "shingle-sets")
     # the same id with the same text: only then is it worth moving texts
@@ -334,7 +399,9 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
         rows = lambda keys, texts: {"mark": keys, "shingles": [shingle_set(t, width) for t in texts]}
         return map_texts(texts, "mark", "text", "mark long, shingles array<long>", rows)
 
-    links = alike_links(firsts.where("size > 0").select("mark", "size"), shingles)
+    sets = firsts.where("size > 0").select("mark", "size")
+    prefixes = staged(_prefixes(shingles(sets), levels), "alike-prefixes")
+    links = alike_links(sets, prefixes, shingles)
     rooted = firsts.join(components(links).withColumnRenamed("node", "mark"), "mark", "left")
     leaders = rooted.groupBy(F.coalesce("root", "mark")).agg(F.min("_first").alias("_first"))
     leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "shingle-leaders")

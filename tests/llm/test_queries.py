@@ -201,8 +201,8 @@ def test_secrets(spark, texts, folders):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
-def brute_components(texts, radius=4, width=4, exact_below=0):
-    marks = {d: brute_fingerprint(t, width, exact_below) for d, t in texts}
+def brute_components(texts, radius=4, width=4):
+    marks = {d: brute_fingerprint(t, width) for d, t in texts}
     root = {d: d for d in marks}
 
     def top(d):
@@ -350,7 +350,7 @@ def test_sampling_spends_the_budget(spark):
 
 def test_held_out_rows_are_never_learned_from(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    used, marks = toxicity.training_sample(docs, labels)
+    used, marks = zip(*((r["text"], r["toxic"]) for r in toxicity.training_sample(docs, labels).collect()), strict=True)
     held = [r["text"] for r in docs.where(toxicity.held_out(docs["doc_id"])).collect()]
     free = Counter(r["text"] for r in docs.where(~toxicity.held_out(docs["doc_id"])).collect())
     assert used and not Counter(used) - free and len(used) == len(marks) and held
