@@ -6,10 +6,12 @@ cell's weight per token; a common scale turns rates into probabilities that spen
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from articleflow.llm.common import staged
 
@@ -22,6 +24,8 @@ TARGETS: dict[str, Target] = {"source": 0.5, "lang": {"en": 0.55, "de": 0.15, "f
 BUDGET = 0.5
 SEED = "mix-1"
 ROUNDS = 12
+#: A last step that is farther from one than this is reported.
+LOOSE = 1e-3
 
 
 def topic(text: Column) -> Column:
@@ -69,23 +73,31 @@ def _shares(cells: DataFrame, margin: str, target: Target) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Target], rounds: int = ROUNDS, tolerance: float = 1e-10) -> DataFrame:
-    """``cells`` (the margins and ``n`` tokens) with ``weight``: shares that meet all targets, as near as cells allow."""
-    shares = {m: staged(_shares(cells, m, t), "mix-shares") for m, t in targets.items()}
+    """``cells`` (the margins and ``n`` tokens) with ``weight``: shares that meet all targets, as near as cells allow.
+
+    A round is three window sums over the cells, which are aggregated and few. Targets that the cells cannot meet
+    together leave the weights of the last round, with a warning that says how far off they are.
+    """
     now = cells.withColumn("weight", F.col("n").cast("double"))
+    for m, t in targets.items():
+        now = now.join(_shares(cells, m, t).withColumnRenamed("_share", f"_{m}"), m)
+    now, worst = staged(now, "mix-cells"), None
     for _ in range(rounds):
         off = F.lit(0.0)
+        stepped = now
         for m in targets:
-            sums = now.groupBy(m).agg(F.sum("weight").alias("_sum")).join(shares[m], m)
-            step = sums.select(m, F.when(F.col("_sum") > 0, F.col("_share") / F.col("_sum")).otherwise(0.0).alias("_step"))
-            now = now.join(step, m)
-            off = F.greatest(off if "_off" not in now.columns else F.col("_off"), F.abs(F.col("_step") - 1))
-            now = now.withColumn("weight", F.col("weight") * F.col("_step")).withColumn("_off", off).drop("_step")
-        now = staged(now.select(*targets, "n", "weight", "_off"), "mix-cells")
-        worst = now.agg(F.max("_off")).first()[0]
-        now = now.drop("_off")
+            total = F.sum("weight").over(Window.partitionBy(m))
+            stepped = stepped.withColumn("_step", F.when(total > 0, F.col(f"_{m}") / total).otherwise(0.0))
+            off = F.greatest(F.col("_off") if "_off" in stepped.columns else off, F.abs(F.col("_step") - 1))
+            stepped = stepped.withColumns({"weight": F.col("weight") * F.col("_step"), "_off": off}).drop("_step")
+        seen = Observation()
+        now = staged(stepped.observe(seen, F.max("_off").alias("worst")).drop("_off"), "mix-cells")
+        worst = seen.get["worst"]
         if worst is None or worst < tolerance:
             break
-    return now
+    if worst is not None and worst > LOOSE:
+        warnings.warn(f"raking stopped after {rounds} rounds, {worst:.2g} off its targets", stacklevel=2)
+    return now.select(*targets, "n", "weight")
 
 
 def scale(cells: DataFrame, budget: float) -> float:
