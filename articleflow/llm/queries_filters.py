@@ -44,7 +44,7 @@ FROM judged
 @query("op1_toxicity")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = toxicity.learn(*toxicity.training_sample(documents, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     return toxicity.score(documents, model)
 
 

@@ -8,12 +8,16 @@ Findings are weighted; labels adjust the weights and add words and word stems to
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +37,10 @@ REPORTS = "said says say wrote called claims claimed told quoted sagte schrieb d
 #: Weights before any label is seen, in the order of ``grammar.FINDINGS``.
 PRIOR_BIAS = -4.0
 PRIOR_WEIGHTS = (4.0, 5.0, 1.0, 1.5, 4.0, 6.0, 1.0, 0.5)
-#: Bound of the training sample, per label; the sample alone is brought to the driver.
-SAMPLE_TOXIC = 1200
-SAMPLE_CLEAN = 2000
+#: Bounds of the training sample: rows per label, and characters of a text; one task learns from it.
+SAMPLE_TOXIC = 2500
+SAMPLE_CLEAN = 4000
+SAMPLE_CHARS = 1 << 16
 
 SKETCH_BITS = 22
 
@@ -100,36 +105,57 @@ def _keys(words: set[str]) -> set[str]:
     return {f"{w}$" for w in words} | {w[:n] for w in words for n in (4, 5, 6, 7) if len(w) >= n}
 
 
+def _slot(key: str) -> int:
+    return zlib.crc32(key.encode()) & (1 << SKETCH_BITS) - 1
+
+
 def learn_words(
     texts: list[str], labels: list[int], known: set[str] = frozenset(), least_ratio: float = 20.0
 ) -> tuple[set[str], set[str]]:
-    """Words and stems that mark toxic texts: a greedy cover of those without a ``known`` word.
+    """Words and stems that mark toxic texts: found on one half of the texts, kept where they hold on the other half.
 
-    A candidate must be ``least_ratio`` times as frequent in toxic texts as in clean ones; each one
-    taken must explain enough different texts that no earlier one explains. Stems have four to seven letters.
+    Near copies count once. A word holds if it is half of ``least_ratio`` times as frequent in toxic texts there, too:
+    syllables that met one label by chance do not.
     """
-    distinct = lambda text: set(_WORD.findall(text.lower()))
-    groups: tuple[list[str], list[str]] = ([], [])
+    groups: tuple[list[set[str]], list[set[str]]] = ([], [])
     seen: set[tuple[int, int]] = set()
     for text, label in zip(texts, labels, strict=True):
-        mark = (_signature(_WORD.findall(text.lower())), label)
+        words = _WORD.findall(text.lower())
+        mark = (_signature(words), label)
         if mark not in seen:
             seen.add(mark)
-            groups[label].append(text)
+            groups[label].append(set(words))
+    clean, toxic = ([g[0::2], g[1::2]] for g in groups)
+    words, stems = _cover((clean[0], toxic[0]), known, least_ratio)
+    wanted = {f"{w}$" for w in words} | stems
+    shown = [Counter(k for w in part for k in wanted & _keys(w)) for part in (clean[1], toxic[1])]
+
+    def holds(key: str) -> bool:
+        return 2 * (shown[1][key] + 0.5) / (len(toxic[1]) + 1) >= least_ratio * (shown[0][key] + 0.5) / (len(clean[1]) + 1)
+
+    return {w for w in words if holds(f"{w}$")}, {s for s in stems if holds(s)}
+
+
+def _cover(groups: tuple[list[set[str]], list[set[str]]], known: set[str], least_ratio: float) -> tuple[set[str], set[str]]:
+    """A greedy cover of the toxic texts (sets of words) without a ``known`` word.
+
+    A candidate must be ``least_ratio`` times as frequent in toxic texts as in clean ones; each one
+    taken must explain enough different texts that no earlier one explains. Stems have four to seven letters.
+    """
     sizes = [len(g) for g in groups]
     least = max(10, sizes[1] // 100)
     # counts by a hash of the key first: a table of fixed size tells which few keys are worth a set of their own
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     for text in groups[1]:
-        sketch[list({hash(k) & (1 << SKETCH_BITS) - 1 for k in _keys(distinct(text))})] += 1
+        sketch[list({_slot(k) for k in _keys(text)})] += 1
     toxic, clean = defaultdict(set), Counter()
     for n, text in enumerate(groups[1]):
-        for k in _keys(distinct(text)):
-            if sketch[hash(k) & (1 << SKETCH_BITS) - 1] >= least:
+        for k in _keys(text):
+            if sketch[_slot(k)] >= least:
                 toxic[k].add(n)
     toxic = {k: docs for k, docs in toxic.items() if len(docs) >= least or k.rstrip("$") in known}
     for text in groups[0]:
-        clean.update(k for k in _keys(distinct(text)) if k in toxic)
+        clean.update(k for k in _keys(text) if k in toxic)
     open_sets = {
         k: docs for k, docs in toxic.items()
         if len(docs) >= least
@@ -180,12 +206,11 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(
-    documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN
-) -> tuple[list[str], list[int]]:
-    """At most ``toxic`` and ``clean`` labelled texts, the first by a hash of their id, outside the held-out rows.
+def training_sample(documents: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
+    """text, toxic: at most ``toxic`` and ``clean`` labelled rows, the first by a hash of their id, outside the held-out rows.
 
-    Rows without id or label are skipped; the largest of several labels of an id holds.
+    Rows without id or label are skipped; the largest of several labels of an id holds, and the smallest of its
+    texts. Texts beyond ``SAMPLE_CHARS`` are not learned from, so the sample is bounded in rows and in characters.
     """
     known = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -197,8 +222,21 @@ def training_sample(
     for label, most in ((1, toxic), (0, clean)):
         part = known.where(F.col("toxic") == label).orderBy(mixed, "doc_id").limit(most)
         picked = part if picked is None else picked.unionAll(part)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(picked, "doc_id").orderBy("doc_id", "text").collect()
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    short = documents.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    return short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """The model of the bounded sample, learned inside one task: only the model reaches the driver."""
+    sample = training_sample(documents, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+        model = learn([r["text"] for r in rows], [r["toxic"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found is not None else Model()
 
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

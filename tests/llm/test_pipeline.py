@@ -1,11 +1,15 @@
 """The pipeline's stages against brute force on the smallest data set."""
 
 import re
+from array import array
+
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from articleflow.llm import mixing, secrets, toxicity
 from articleflow.llm.common import staged, table
-from tests.llm.test_queries import DOCUMENTS, brute_components
+from articleflow.llm.queries_tokens import tokenizer_path
+from tests.llm.test_queries import DOCUMENTS, brute_one_of_each
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,11 +23,10 @@ def test_stages_in_order(spark):
         docs = staged(stage(spark, docs, FOLDER), "test-stage")
         assert docs.columns == columns
         kept[name] = {r["doc_id"]: r for r in docs.collect()}
-    model = toxicity.learn(*toxicity.training_sample(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")))
+    model = toxicity.fit(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
     clean = {d for d, r in given.items() if model.score(model.counts(r["text"] or "")) < 0.3}
     assert set(kept["toxicity"]) == clean and clean != set(given)
-    groups = brute_components([(d, given[d]["text"] or "") for d in clean], 7, 5, 9)
-    assert set(kept["near_duplicates"]) == {d for d, (_, c) in groups.items() if c == d}
+    assert set(kept["near_duplicates"]) == brute_one_of_each([(d, given[d]["text"] or "") for d in clean])
     assert set(kept["secrets"]) == set(kept["near_duplicates"])
     for d, r in kept["secrets"].items():
         assert r["text"] == secrets.mask(given[d]["text"]) and r["n_chars"] == len(r["text"])
@@ -32,7 +35,15 @@ def test_stages_in_order(spark):
     assert set(kept["mixing"]) == {r["doc_id"] for r in mixing.mix(before).where("sampled").collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()
     assert {r["doc_id"] for r in packed} == set(kept["mixing"])
-    assert corpus_pipeline.run(spark, FOLDER).count() == len(packed)
+    # run() itself, id by id: every document's ids once and in order, and they are the library's
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, FOLDER).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], array("I", bytes(r["ids"])).tolist()))
+    assert set(pieces) == set(kept["mixing"])
+    for d, parts in pieces.items():
+        ids = [i for _, part in sorted(parts) for i in part]
+        assert ids == [*library.encode(kept["mixing"][d]["text"] or "", add_special_tokens=False).ids, 0]
 
 
 def test_edge_cases(spark, tmp_path):
@@ -44,3 +55,9 @@ def test_edge_cases(spark, tmp_path):
         spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
         packed = corpus_pipeline.run(spark, folder).collect()
         assert bool(packed) == bool(given)
+        # near copies: of the equal rows one stays; the draw of the mixture decides about the others
+        kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, folder, "documents"), folder).collect()
+        assert sorted((r["doc_id"] or 0, len(r["text"] or "")) for r in kept) == ([(1, 0), (2, 54000), (3, 16)] if given else [])
+        docs = table(spark, folder, "documents").select(*corpus_pipeline.COLUMNS)
+        drawn = mixing.mix(docs).where("sampled").select("doc_id").collect()
+        assert sorted(str(r[0]) for r in mixing.sample(docs).select("doc_id").collect()) == sorted(str(r[0]) for r in drawn)
