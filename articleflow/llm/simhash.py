@@ -33,8 +33,10 @@ BLOCK = 512
 ALIKE = (4, 5)
 #: Shingles in a tile of sets, about.
 TILE_SHINGLES = 1 << 17
+#: Rows of ids and hashes that a broadcast may hold: about 16 MB.
+SENT_ROWS = 1 << 19
 #: Slots of the sketch of shingle counts, and slices that it is added in, as powers of two.
-SKETCH_BITS, SLICE_BITS = 19, 4
+SKETCH_BITS, SLICE_BITS = 17, 4
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -266,8 +268,9 @@ def alike_links(sets: DataFrame, prefixes: DataFrame, shingles: Callable[[DataFr
     order. Two sets alike share one of those, so groups joined by them hold every pair. Inside a group sets are
     compared exactly, in tiles of bounded bytes; ``shingles(wanted)`` gives mark and shingles of the marks in ``wanted``.
     """
-    least = prefixes.groupBy("token").agg(F.min("mark").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    groups = components(prefixes.join(least, "token").select(F.col("mark").alias("u"), "v"))
+    least = prefixes.groupBy("token").agg(F.min("mark").alias("v"), F.max("mark").alias("_w")).where("v < _w").drop("_w")
+    shared = staged(least, "alike-shared")  # few of the shingles, so the join may send them to all tasks
+    groups = components(prefixes.join(shared, "token").select(F.col("mark").alias("u"), "v"))
     members = staged(groups.withColumnRenamed("node", "mark").join(sets, "mark"), "alike-members")
     cuts = members.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("_cuts"))
     cuts = staged(cuts, "alike-cuts")
@@ -299,6 +302,11 @@ def alike_links(sets: DataFrame, prefixes: DataFrame, shingles: Callable[[DataFr
     return work.mapInArrow(run, "u long, v long")
 
 
+def _if_small(rows: DataFrame) -> DataFrame:
+    """Up to ``SENT_ROWS`` rows of three numbers are sent to all tasks, so that texts stay where they are; more are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def _measured_sets(documents: DataFrame, width: int) -> DataFrame:
     """doc_id, mark, size, text_hash of every row, and from every task a sketch of how many of its texts hold a shingle.
 
@@ -308,7 +316,7 @@ def _measured_sets(documents: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "mark", "size", "text_hash", "slice")] + [("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             marks, sizes = [], []
@@ -341,7 +349,7 @@ def _levels(found: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(blob, np.int64)
+                counts = np.frombuffer(blob, np.uint32).astype(np.int64)
                 sums[k] = sums[k] + counts if k in sums else counts
         if sums:
             levels = [(2 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
@@ -355,22 +363,23 @@ def _levels(found: DataFrame) -> np.ndarray:
     return made
 
 
-def _prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
-    """mark, token: the first shingles of every set, rare ones first by the levels, then by value."""
+def _prefixes(documents: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
+    """mark, token: the first shingles of every text's set, rare ones first by the levels, then by value; copies repeat them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, lists = batch.column(0).to_numpy(), batch.column(1)
-            for at in range(0, len(marks), 512):
-                firsts = []
-                for i in range(at, min(at + 512, len(marks))):
-                    shingles = lists[i].values.to_numpy()
-                    order = np.argsort(levels[_slots(shingles)], kind="stable")  # sets are sorted by value
-                    firsts.append(shingles[order[: prefix_length(len(shingles))]])
-                owners = np.repeat(marks[at : at + 512], [len(f) for f in firsts])
+            texts = batch.column(0)
+            for at in range(0, len(texts), 512):
+                marks, firsts = [], []
+                for text in texts.slice(at, 512).to_pylist():
+                    shingles = shingle_set(text or "", width)  # sorted by value
+                    order = np.argsort(levels[_slots(shingles)], kind="stable")
+                    marks.append(_set_mark(shingles))
+                    firsts.append(shingles[order[: prefix_length(len(shingles))]] if len(shingles) else shingles)
+                owners = np.repeat(np.array(marks, np.int64), [len(f) for f in firsts])
                 yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(firsts))], names=["mark", "token"])
 
-    return sets.mapInArrow(run, "mark long, token long")
+    return documents.select("text").mapInArrow(run, "mark long, token long")
 
 
 def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -393,19 +402,19 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
 
     def shingles(wanted: DataFrame) -> DataFrame:
         of = firsts.join(wanted.select("mark"), "mark", "left_semi").select("mark", F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h"))
-        texts = hashed.select("doc_id", "text", "_hash").join(of, same).select("mark", "text")
+        texts = hashed.select("doc_id", "text", "_hash").join(_if_small(staged(of, "alike-wanted")), same).select("mark", "text")
         if repeats:
             texts = texts.dropDuplicates(["mark"])
         rows = lambda keys, texts: {"mark": keys, "shingles": [shingle_set(t, width) for t in texts]}
         return map_texts(texts, "mark", "text", "mark long, shingles array<long>", rows)
 
     sets = firsts.where("size > 0").select("mark", "size")
-    prefixes = staged(_prefixes(shingles(sets), levels), "alike-prefixes")
+    prefixes = staged(_prefixes(documents, levels, width), "alike-prefixes")
     links = alike_links(sets, prefixes, shingles)
     rooted = firsts.join(components(links).withColumnRenamed("node", "mark"), "mark", "left")
     leaders = rooted.groupBy(F.coalesce("root", "mark")).agg(F.min("_first").alias("_first"))
     leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "shingle-leaders")
-    kept = hashed.join(leaders, same, "left_semi")
+    kept = hashed.join(_if_small(leaders), same, "left_semi")
     if repeats:
         kept = kept.dropDuplicates(["doc_id", "_hash"])
     return kept.select(documents.columns)
