@@ -37,6 +37,8 @@ TILE_SHINGLES = 1 << 17
 SENT_ROWS = 1 << 19
 #: Slots of the sketch of shingle counts, and slices that it is added in, as powers of two.
 SKETCH_BITS, SLICE_BITS = 17, 4
+#: A slot is hot from so many shingles on, and from so many times the mean.
+HOT_LEAST, HOT_TIMES = 512, 8
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -363,23 +365,64 @@ def _levels(found: DataFrame) -> np.ndarray:
     return made
 
 
-def _prefixes(documents: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
-    """mark, token: the first shingles of every text's set, rare ones first by the levels, then by value; copies repeat them."""
+def _token(shingles: np.ndarray) -> np.ndarray:
+    """Half of a shingle's hash: any function of shingles will do for meeting, and it takes half the room."""
+    return (shingles.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _split(shingles: np.ndarray, levels: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that are counted one by one, and the hot ones in their order: by level, then by value."""
+    level = levels[_slots(shingles)]
+    far = level >= hot
+    return shingles[~far], shingles[far][np.argsort(level[far], kind="stable")]
+
+
+def _counted_tokens(texts: DataFrame, levels: np.ndarray, hot: int, width: int) -> DataFrame:
+    """mark, token for (mark, text): the shingles that are not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0)
-            for at in range(0, len(texts), 512):
-                marks, firsts = [], []
-                for text in texts.slice(at, 512).to_pylist():
-                    shingles = shingle_set(text or "", width)  # sorted by value
-                    order = np.argsort(levels[_slots(shingles)], kind="stable")
-                    marks.append(_set_mark(shingles))
-                    firsts.append(shingles[order[: prefix_length(len(shingles))]] if len(shingles) else shingles)
-                owners = np.repeat(np.array(marks, np.int64), [len(f) for f in firsts])
-                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(firsts))], names=["mark", "token"])
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                tokens = [_token(_split(shingle_set(t or "", width), levels, hot)[0]) for t in part.column(1).to_pylist()]
+                owners = np.repeat(part.column(0).to_numpy(), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(np.concatenate(tokens))], names=["mark", "token"])
+
+    return texts.select("mark", "text").mapInArrow(run, "mark long, token int")
+
+
+def _hot_tokens(texts: DataFrame, levels: np.ndarray, hot: int, width: int) -> DataFrame:
+    """mark, counted, tokens for (mark, text): how many shingles are not hot, and the hot ones that a prefix needs even so."""
+
+    def rows(keys: list, texts: list) -> dict[str, list]:
+        counted, needed = [], []
+        for text in texts:
+            shingles = shingle_set(text, width)
+            plain, far = _split(shingles, levels, hot)
+            counted.append(len(plain))
+            needed.append(_token(far[: max(0, prefix_length(len(shingles)) - len(plain))]).tolist() if len(shingles) else [])
+        return {"mark": keys, "counted": counted, "tokens": needed}
 
-    return documents.select("text").mapInArrow(run, "mark long, token long")
+    return map_texts(texts, "mark", "text", "mark long, counted long, tokens array<int>", rows)
+
+
+def _prefixes(texts: DataFrame, sets: DataFrame, levels: np.ndarray, width: int) -> DataFrame:
+    """mark, token: the first shingles of every set in one order, as far as other sets have them.
+
+    Rare ones come first by their exact count. Shingles whose slot of the sketch is far above the mean are hot: they
+    come last, by level, and are never gathered, so no shingle's rows fill a task.
+    """
+    mean = float(np.mean(np.exp2(levels[levels > 0] / 2))) if (levels > 0).any() else 1.0
+    hot = int(2 * np.log2(max(HOT_LEAST, HOT_TIMES * mean)))
+    far = staged(_hot_tokens(texts, levels, hot, width), "alike-hot")
+    listed = _counted_tokens(texts, levels, hot, width)
+    shared = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    shared = shared.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    up, down = ALIKE
+    first = F.col("size") - F.floor((F.col("size") * up + down - 1) / down) + 1 - (F.col("counted") - F.size("shared"))
+    plain = shared.join(sets, "mark").join(far.select("mark", "counted"), "mark").withColumn("_first", first.cast("int"))
+    plain = plain.where("_first > 0").select("mark", F.explode(F.slice("shared", F.lit(1), F.col("_first"))["token"]).alias("token"))
+    return plain.unionAll(far.select("mark", F.explode("tokens").alias("token")))
 
 
 def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -400,16 +443,17 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     hashed = documents.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
 
-    def shingles(wanted: DataFrame) -> DataFrame:
+    def texts_of(wanted: DataFrame) -> DataFrame:
         of = firsts.join(wanted.select("mark"), "mark", "left_semi").select("mark", F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h"))
         texts = hashed.select("doc_id", "text", "_hash").join(_if_small(staged(of, "alike-wanted")), same).select("mark", "text")
-        if repeats:
-            texts = texts.dropDuplicates(["mark"])
+        return texts.dropDuplicates(["mark"]) if repeats else texts
+
+    def shingles(wanted: DataFrame) -> DataFrame:
         rows = lambda keys, texts: {"mark": keys, "shingles": [shingle_set(t, width) for t in texts]}
-        return map_texts(texts, "mark", "text", "mark long, shingles array<long>", rows)
+        return map_texts(texts_of(wanted), "mark", "text", "mark long, shingles array<long>", rows)
 
     sets = firsts.where("size > 0").select("mark", "size")
-    prefixes = staged(_prefixes(documents, levels, width), "alike-prefixes")
+    prefixes = staged(_prefixes(texts_of(sets), sets, levels, width), "alike-prefixes")
     links = alike_links(sets, prefixes, shingles)
     rooted = firsts.join(components(links).withColumnRenamed("node", "mark"), "mark", "left")
     leaders = rooted.groupBy(F.coalesce("root", "mark")).agg(F.min("_first").alias("_first"))

@@ -261,8 +261,11 @@ def brute_one_of_each(rows):
     return {d for d in sets if top(d) == d}
 
 
-@pytest.mark.parametrize("tile", [200, 1 << 17])
-def test_one_of_each_is_exact(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "hot"), [(1 << 17, 512), (100, 512), (1 << 17, 4)])
+def test_one_of_each_is_exact(spark, monkeypatch, tile, hot):
+    """Also with most shared shingles hot, so that prefixes hold some."""
+    monkeypatch.setattr(simhash, "HOT_LEAST", hot)
+    monkeypatch.setattr(simhash, "HOT_TIMES", min(8, hot / 8))
     monkeypatch.setattr(simhash, "TILE_SHINGLES", tile)
     rng = np.random.default_rng(5)
     rows = []
