@@ -17,7 +17,7 @@ from articleflow.plans.mapping import (
 from articleflow.session import fresh_path
 from articleflow.sources.schemas import NEWS_ARTICLES, PAGES
 from articleflow.sources.tables import read
-from articleflow.streaming import streams
+from articleflow.streaming import stale, streams
 
 NOW = "2026-01-01 00:00:00"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -40,57 +40,48 @@ def stream_dedupe(spark, d):
 
 @query(
     "stream_windows",
-    """WITH lim AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
-    b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL)
-    SELECT epoch(s)::BIGINT AS window_start, event_type, n FROM b, lim WHERE s + INTERVAL 1 HOUR <= date_trunc('millisecond', w)""",
+    "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 )
 def stream_windows(spark, d):
     counts = streams.window_stats(_events(spark, d), "at", "event_type", "1 hour")
-    path = streams.append_to(counts, fresh_path(spark, "windows"))
-    return spark.read.parquet(path).select(
+    return streams.all_windows(counts, fresh_path(spark, "windows"), "event_type").select(
         F.unix_timestamp("window_start").alias("window_start"), "event_type", "n"
     )
 
 
 @query(
     "stream_sliding",
-    """WITH lim AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
-    x AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS s, event_type FROM events, (VALUES (0), (1), (2)) o(k)),
-    b AS (SELECT s, event_type, count(*) AS n FROM x GROUP BY ALL)
-    SELECT epoch(s)::BIGINT AS window_start, event_type, n FROM b, lim WHERE s + INTERVAL 3 HOUR <= date_trunc('millisecond', w)""",
+    """WITH x AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR AS s, event_type FROM events, (VALUES (0), (1), (2)) o(k))
+    SELECT epoch(s)::BIGINT AS window_start, event_type, count(*) AS n FROM x GROUP BY ALL""",
 )
 def stream_sliding(spark, d):
     counts = streams.window_stats(_events(spark, d), "at", "event_type", "3 hours", "1 hour")
-    path = streams.append_to(counts, fresh_path(spark, "sliding"))
-    return spark.read.parquet(path).select(
+    return streams.all_windows(counts, fresh_path(spark, "sliding"), "event_type").select(
         F.unix_timestamp("window_start").alias("window_start"), "event_type", "n"
     )
 
 
 @query(
     "stream_sessions",
-    """WITH lim AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
-    g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p >= INTERVAL 2 HOUR OR lag(ts) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)),
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p >= INTERVAL 2 HOUR OR lag(ts) OVER p IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
     b AS (SELECT user_id, min(ts) AS a, max(ts) AS z, count(*) AS n FROM s GROUP BY user_id, k)
-    SELECT user_id, epoch(date_trunc('second', a))::BIGINT AS session_start, n FROM b, lim WHERE z + INTERVAL 2 HOUR <= date_trunc('millisecond', w)""",
+    SELECT user_id, epoch(date_trunc('second', a))::BIGINT AS session_start, epoch(date_trunc('second', z)) + 7200 AS session_end, n FROM b""",
 )
 def stream_sessions(spark, d):
     counts = streams.session_stats(_events(spark, d), "at", "user_id", "2 hours")
-    path = streams.append_to(counts, fresh_path(spark, "sessions"))
-    return spark.read.parquet(path).select(
-        "user_id", F.unix_timestamp("session_start").alias("session_start"), "n"
-    )
+    found = streams.all_sessions(counts, fresh_path(spark, "sessions"), "user_id")
+    return found.select("user_id", *(F.unix_timestamp(c).alias(c) for c in ("session_start", "session_end")), "n")
 
 
-def _task_stream(spark, d):
+def _task_stream(spark, d, timed=False):
     kind = F.col("event_type")
     event = (
         F.when(kind.isin("click", "view"), "claim").when(kind == "purchase", "complete")
         .when((kind == "error") & (F.col("value") > 150), "delete").when(kind == "error", "fail").otherwise("request")
     )
-    return streams.read(spark, d, "events", EVENTS).select(
-        F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), event.alias("event")
+    return _events(spark, d).select(
+        F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), event.alias("event"), *(["at"] if timed else [])
     )
 
 
@@ -99,6 +90,34 @@ def stream_tasks(spark, d):
     return plain_states(streams.task_states(_task_stream(spark, d), fresh_path(spark, "tasks")))
 
 
+#: A task is late once ten minutes have passed in processing; the watermark is ten minutes behind the last event.
+_LATE = "(a.s = 'processing' AND x.us > a.us + 600000000)"
+_MOVES = "((a.s = 'pending' AND x.s = 'claim') OR (a.s = 'processing' AND x.s IN ('complete', 'fail', 'delete')) OR (a.s = 'failed' AND x.s = 'request'))"
+_MOVED = f"(CASE WHEN {_LATE} THEN x.s = 'request' ELSE {_MOVES} END)"
+
+
+@query(
+    "stream_task_timers",
+    f"""WITH ev AS (SELECT user_id AS task_id, event_id AS seq, epoch_us(ts) AS us, CASE WHEN event_type IN ('click', 'view') THEN 'claim'
+      WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' AND value > 150 THEN 'delete' WHEN event_type = 'error' THEN 'fail' ELSE 'request' END AS event FROM events),
+    lim AS (SELECT (max(us) // 1000 - 600000) * 1000 AS w FROM ev),
+    walked AS (SELECT task_id, list_reduce(l, lambda a, x: {{
+      's': CASE WHEN {_LATE} THEN CASE WHEN x.s = 'request' THEN 'pending' ELSE 'failed' END WHEN NOT {_MOVES} THEN a.s
+        WHEN x.s = 'claim' THEN 'processing' WHEN x.s = 'complete' THEN 'completed' WHEN x.s = 'fail' THEN 'failed' WHEN x.s = 'delete' THEN 'deleted' ELSE 'pending' END,
+      'applied': a.applied + {_MOVED}::BIGINT, 'ignored': a.ignored + (NOT {_MOVED})::BIGINT, 'stale': a.stale + {_LATE}::BIGINT,
+      'updated': CASE WHEN {_MOVED} THEN x.updated ELSE a.updated END, 'us': CASE WHEN {_MOVED} THEN x.us ELSE a.us END}},
+      {{'s': 'pending', 'applied': 0::BIGINT, 'ignored': 0::BIGINT, 'stale': 0::BIGINT, 'updated': -1::BIGINT, 'us': 0::BIGINT}}) AS f
+      FROM (SELECT task_id, list({{'s': event, 'applied': 0::BIGINT, 'ignored': 0::BIGINT, 'stale': 0::BIGINT, 'updated': seq, 'us': us}} ORDER BY us, seq) AS l FROM ev GROUP BY task_id)),
+    last AS (SELECT *, f.s = 'processing' AND f.us + 600000000 < w AS late FROM walked, lim)
+    SELECT task_id, CASE WHEN late THEN 'failed' ELSE f.s END AS status, f.applied AS applied, f.ignored AS ignored, f.stale + late::BIGINT AS stale, f.updated AS updated_seq FROM last""",
+)
+def stream_task_timers(spark, d):
+    """The task log in event time with a deadline of ten minutes, also for tasks without a further event."""
+    events = _task_stream(spark, d, True)
+    found = stale.task_states_with_timer(events, fresh_path(spark, "task-timers"))
+    return found.withColumn("updated_seq", F.coalesce("updated_seq", F.lit(-1)))
+
+
 def _interaction_stream(spark, d):
     kind = F.col("event_type")
     return streams.read(spark, d, "events", EVENTS).select(

@@ -18,6 +18,7 @@ from articleflow.operators import tasks, users
 from articleflow.operators.extract import SourceConfig, examine
 from articleflow.operators.ordering import Merge, ordered_fold
 from articleflow.operators.quality import article_problem
+from articleflow.streaming.content_index import ContentIndex
 
 
 def read(
@@ -44,8 +45,8 @@ def append_to(stream: DataFrame, path: str) -> str:
     return f"{path}/rows"
 
 
-def each_batch(stream: DataFrame, path: str, write: Callable[[DataFrame, int], None]) -> None:
-    _drain(stream.writeStream.foreachBatch(write), path)
+def each_batch(stream: DataFrame, path: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    _drain(stream.writeStream.foreachBatch(write).outputMode(mode), path)
 
 
 def dedupe(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
@@ -58,10 +59,12 @@ def ingest(
 ) -> DataFrame:
     """Pages to new articles, each content once; returns the written articles.
 
-    A batch keeps first copies, then drops contents of the stored table and of other batches.
+    A batch keeps first copies, then drops contents of the stored table and of earlier batches, which it looks up in
+    a ``ContentIndex``: only the buckets of its own hashes are read, however many batches there were.
     """
     spark = pages.sparkSession
     folder = f"{path}/articles"
+    index = ContentIndex(spark, f"{path}/index")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         seen = examine(batch, cfg, as_of).where("reject_reason is null").select(
@@ -72,10 +75,9 @@ def ingest(
         fresh = ingest_ops.first_by_hash(valid)
         if stored is not None:
             fresh = fresh.join(stored.select("content_hash"), "content_hash", "left_anti")
-        if batch_id > 0:
-            earlier = spark.read.parquet(folder).where(F.col("batch") < batch_id)
-            fresh = fresh.join(earlier.select("content_hash"), "content_hash", "left_anti")
+        fresh = index.unknown(fresh, batch_id)
         fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        index.add(spark.read.schema(fresh.schema).parquet(f"{folder}/batch={batch_id}"), batch_id)
         valid.unpersist()
 
     each_batch(pages, path, write)
@@ -165,6 +167,22 @@ def window_stats(
     )
 
 
+def open_windows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The windows of a drained ``window_stats`` query that the watermark has not closed, from the query's own state."""
+    state = spark.read.format("statestore").load(f"{path}/_progress")
+    window = F.col("key.window")
+    return state.select(
+        window["start"].alias("window_start"), window["end"].alias("window_end"), F.col(f"key.{kind}").alias(kind), F.col("value.count").alias("n")
+    )
+
+
+def all_windows(stream: DataFrame, path: str, kind: str) -> DataFrame:
+    """Drain a ``window_stats`` stream: its closed windows and the open ones, so every event that was not late is counted."""
+    spark = stream.sparkSession
+    closed = spark.read.schema(stream.schema).parquet(append_to(stream, path))
+    return closed.unionByName(open_windows(spark, path, kind))
+
+
 def session_stats(stream: DataFrame, ts: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Counts per activity session of a key."""
     return (
@@ -173,3 +191,17 @@ def session_stats(stream: DataFrame, ts: str, key: str, gap: str, delay: str = "
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
     )
+
+
+def open_sessions(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The sessions of a drained ``session_stats`` query that may still grow."""
+    state = spark.read.format("statestore").load(f"{path}/_progress")
+    span = F.col("value.session_window")
+    return state.select(span["start"].alias("session_start"), span["end"].alias("session_end"), F.col(f"key.{key}").alias(key), F.col("value.count").alias("n"))
+
+
+def all_sessions(stream: DataFrame, path: str, key: str) -> DataFrame:
+    """Drain a ``session_stats`` stream: its closed sessions and the open ones."""
+    spark = stream.sparkSession
+    closed = spark.read.schema(stream.schema).parquet(append_to(stream, path))
+    return closed.unionByName(open_sessions(spark, path, key))

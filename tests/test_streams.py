@@ -86,3 +86,92 @@ def test_late_events_meet_the_guard(spark, tmp_path):
     got = streams.task_states(streams.read(spark, source, "late", schema, 1), str(tmp_path / "out"))
     row = got.where(F.col("task_id") == 1).first()
     assert (row.status, row.ignored) == ("completed", 1)
+
+
+def brute_timed(rows, minutes, until):
+    """Events of each task in event time; the deadline is judged before every event and once more at the end."""
+    found = {}
+    for task, seq, event, at in sorted(rows, key=lambda r: (r[3], r[1])):
+        s = found.setdefault(task, ["pending", 0, 0, 0, None, None])
+        if s[0] == "processing" and s[5] + timedelta(minutes=minutes) < at:
+            s[0], s[3] = "failed", s[3] + 1
+        needs, leads = tasks.TRANSITIONS[event]
+        if s[0] == needs:
+            s[0], s[1], s[4], s[5] = leads, s[1] + 1, seq, at
+        else:
+            s[2] += 1
+    for s in found.values():
+        if s[0] == "processing" and s[5] + timedelta(minutes=minutes) < until:
+            s[0], s[3] = "failed", s[3] + 1
+    return sorted((task, *s[:5]) for task, s in found.items())
+
+
+def test_stale_tasks_fail_by_timer(spark, tmp_path):
+    import random
+
+    from articleflow.streaming import stale
+
+    rng = random.Random(4)
+    start, rows = datetime(2026, 1, 1), []
+    for i in range(200):
+        rows.append((rng.randrange(12), i, rng.choice(["claim", "claim", "complete", "request", "fail"]), start + timedelta(minutes=2 * i, seconds=rng.randrange(60))))
+    rows += [(50, 200, "claim", rows[10][3]), (51, 201, "claim", rows[-1][3])]  # one waits for its timer, one is not late yet
+    rows += [(52, 202, "claim", rows[20][3]), (52, 203, "complete", rows[60][3])]  # completed too late
+    rows.sort(key=lambda r: r[3])
+    schema = "task_id long, seq long, event string, at timestamp"
+    source = _parts(spark, tmp_path, rows, schema, "timed")
+    stream = streams.read(spark, source, "timed", schema, files_per_batch=1)
+    got = stale.task_states_with_timer(stream, str(tmp_path / "out"), minutes=10, delay="5 minutes")
+    states = sorted(map(tuple, got.collect()))
+    until = max(r[3] for r in rows) - timedelta(minutes=5)
+    assert states == brute_timed(rows, 10, until)
+    by_task = {r[0]: r for r in states}
+    assert by_task[50][1:4:2] == ("failed", 0) and by_task[50][4] == 1 and by_task[51][1] == "processing"
+    assert by_task[52] == (52, "failed", 1, 1, 1, 202)
+    batches = {int(p.name.split("=")[1]) for p in (tmp_path / "out/states").glob("batch=*")}
+    assert len(batches) > 5
+
+
+def test_open_and_closed_windows_count_every_event(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    rows = [(i % 3, "ab"[i % 2], start + timedelta(minutes=7 * i)) for i in range(160)]
+    schema = "k long, kind string, at timestamp"
+    source = _parts(spark, tmp_path, rows, schema, "win")
+    stream = lambda: streams.read(spark, source, "win", schema, files_per_batch=1)
+    counts = streams.window_stats(stream(), "at", "kind", "3 hours", "1 hour")
+    got = streams.all_windows(counts, str(tmp_path / "w"), "kind")
+    want = spark.createDataFrame(rows, schema).groupBy(F.window("at", "3 hours", "1 hour").alias("w"), "kind").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("w.start", "w.end", "kind", "count").collect()))
+    closed = spark.read.parquet(str(tmp_path / "w/rows")).count()
+    assert 0 < closed < got.count()
+    sessions = streams.all_sessions(streams.session_stats(stream(), "at", "k", "15 minutes"), str(tmp_path / "s"), "k")
+    whole = spark.createDataFrame(rows, schema).groupBy(F.session_window("at", "15 minutes").alias("w"), "k").count()
+    assert sorted(map(tuple, sessions.collect())) == sorted(map(tuple, whole.select("w.start", "w.end", "k", "count").collect()))
+
+
+def test_content_index_reads_stay_level(spark, tmp_path):
+    import hashlib
+    import re
+
+    from articleflow.streaming.content_index import ContentIndex, runs_before
+
+    assert runs_before(0) == [] and runs_before(21) == [(0, 16), (16, 20), (20, 21)]
+    for n in range(200):
+        runs = runs_before(n)
+        assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])][: len(runs)] and (not n or runs[-1][1] == n)
+    index = ContentIndex(spark, str(tmp_path / "index"), fan=2, buckets=4)
+    seen, files = set(), []
+    for batch in range(20):
+        words = {hashlib.sha256(str(batch * 3 + k).encode()).hexdigest() for k in range(7)}  # overlaps earlier batches
+        rows = spark.createDataFrame([(w,) for w in sorted(words)], "content_hash string").coalesce(1)
+        fresh = {r[0] for r in index.unknown(rows, batch).collect()}
+        assert fresh == words - seen
+        files.append(len(index.known(rows, batch).inputFiles()))
+        kept = spark.createDataFrame([(w,) for w in sorted(fresh)], "content_hash string")
+        for _ in range(1 + (batch == 7)):  # a replay writes the same
+            index.add(kept, batch)
+        seen |= words
+    assert max(files) <= 4 * 5 and files[16] <= 4 and files[19] <= 4 * 3
+    one = spark.createDataFrame([(min(seen),)], "content_hash string")
+    plan = index.known(one, 16)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
