@@ -140,16 +140,23 @@ def ignored(events: DataFrame, key: str = "task_id", seq: str = "seq", width: in
     )
 
 
-def claim(df: DataFrame, as_of: Column, limit: int | None = 50, ids: Sequence[int] | None = None) -> DataFrame:
-    """Move the oldest pending rows (or the given ones) to processing; others are untouched."""
+def claimable(df: DataFrame, limit: int | None = 50, ids: Sequence[int] | None = None) -> DataFrame:
+    """Ids of the oldest pending rows, or of the given ones that are pending; without a limit of all of them."""
     pending = df.where("summary_status = 'pending'").select("id")
     if ids is not None:
-        chosen = pending.where(F.col("id").isin(list(ids)))
-    else:
-        chosen = pending.orderBy("id").limit(limit)
+        return pending.where(F.col("id").isin(list(ids)))
+    return pending if limit is None else pending.orderBy("id").limit(limit)
+
+
+def mark_claimed(df: DataFrame, chosen: DataFrame, as_of: Column) -> DataFrame:
     return _rewrite(df, chosen, {"summary_status": F.lit("processing"), "updated_at": as_of})
 
 
+def claim(df: DataFrame, as_of: Column, limit: int | None = 50, ids: Sequence[int] | None = None) -> DataFrame:
+    """Move the oldest pending rows (or the given ones) to processing; others are untouched."""
+    return mark_claimed(df, claimable(df, limit, ids), as_of)
+
+
 def _rewrite(df: DataFrame, ids: DataFrame, values: dict[str, Column]) -> DataFrame:
     marked = df.join(ids.withColumn("_hit", F.lit(True)), "id", "left")
     hit = F.col("_hit").isNotNull()

@@ -3,15 +3,17 @@
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import sha256
-from articleflow.operators import ingest
+from articleflow.operators import ingest, users
 from articleflow.plans.catalogue import query
 from articleflow.plans.checks_pages import PARAGRAPH_SQL, SITE, TITLE_SQL
 from articleflow.plans.checks_tasks import FOLD_SQL, plain_states
+from articleflow.plans.checks_text import ENDERS, WORDS
 from articleflow.plans.jobs import run_round
 from articleflow.plans.mapping import (
     INTERACTIONS_SQL,
     as_of,
     document_articles,
+    interactions,
     stamp,
 )
 from articleflow.session import fresh_path
@@ -185,3 +187,46 @@ def worker_round(spark, d):
     crawl = done.crawl_stats.select(F.lit("crawl").alias("phase"), F.col("source").alias("name"), "fetched", "created")
     rows = done.articles.agg(F.count(F.lit(1)).alias("fetched"), F.count_if(F.col("summary_status") == "pending").alias("created"))
     return crawl.unionByName(rows.select(F.lit("tables").alias("phase"), F.lit("articles").alias("name"), "fetched", "created"))
+
+
+def _plain_model():
+    """A stand-in model whose summaries state no facts."""
+    return lambda texts: ["fertig" for _ in texts]
+
+
+@query(
+    "worker_round_summaries",
+    r"""WITH """ + INTERACTIONS_SQL + r""", art AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN 'completed' WHEN doc_id % 10 = 1 THEN 'failed'
+      WHEN doc_id % 10 = 2 THEN 'processing' WHEN ceil(n_chars / 4.0) > 512 THEN 'deleted'
+      WHEN len(list_filter(regexp_extract_all(replace(text, chr(10), ''), '[^.!?]*[.!?][.!?”’」』）)\]"'']*|[^.!?]+$'),
+        lambda s: length(regexp_replace(s, '\P{L}', '', 'g')) >= 2)) = 0 THEN 'failed' ELSE 'completed' END AS status,
+      CASE WHEN doc_id % 10 > 2 THEN 1 ELSE 0 END AS claimed FROM documents),
+    gone AS (SELECT id FROM art WHERE status = 'deleted')
+    SELECT 'articles' AS name, status, count(*) AS n FROM art WHERE status <> 'deleted' GROUP BY status
+    UNION ALL SELECT 'outcomes', status, count(*) FROM art WHERE claimed = 1 GROUP BY status
+    UNION ALL SELECT 'favorites', 'left', count(*) FROM fav WHERE news_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'feedback', 'left', count(*) FROM fb WHERE news_id NOT IN (SELECT id FROM gone)""",
+)
+def worker_round_summaries(spark, d):
+    """The whole round: stale tasks fail, every pending article is summarised, and what is too long goes with its dependents."""
+    docs = read(spark, d, "documents")
+    status = F.when(F.col("doc_id") % 10 == 0, "completed").when(F.col("doc_id") % 10 < 3, "processing").otherwise("pending")
+    have = {
+        "id": F.col("doc_id"), "content": F.col("text"), "title": F.lit("t"), "summary_status": status, "content_hash": sha256(F.col("text")),
+        # one of the two in processing was touched too long ago
+        "updated_at": F.when(F.col("doc_id") % 10 == 1, "2025-12-31 00:00:00").otherwise(NOW),
+    }
+    articles = docs.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NEWS_ARTICLES.fields])
+    log = interactions(spark, d)
+    done = run_round(
+        articles, users.fold_favorites(log), users.fold_feedback(log), [], as_of(NOW), batch_limit=None, make_predict=_plain_model,
+        token_count=F.ceil(F.length("content") / 4), char_per_token=2.0, enders=ENDERS, script="letters", token_pattern=WORDS,
+    )
+    row = F.lit(1).alias("one")
+    counts = done.summary_stats.select(F.explode(F.create_map(*(x for c in done.summary_stats.columns for x in (F.lit(c), F.col(c))))).alias("status", "n")).where("n > 0")
+    left = lambda name, df: df.select(row).agg(F.count("one").alias("n")).select(F.lit(name).alias("name"), F.lit("left").alias("status"), "n")
+    return (
+        done.articles.groupBy(F.lit("articles").alias("name"), F.col("summary_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(counts.select(F.lit("outcomes").alias("name"), "status", "n"))
+        .unionByName(left("favorites", done.favorites)).unionByName(left("feedback", done.feedback))
+    )

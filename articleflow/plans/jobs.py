@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from articleflow.operators import ingest, quality, tasks
 from articleflow.plans import summarise
 from articleflow.session import cut_lineage
-from articleflow.sources.tables import write_snapshot
+from articleflow.sources.versions import VersionedTables
 
 
 @dataclass
@@ -23,10 +23,10 @@ class Round:
     crawl_stats: DataFrame | None = None
     summary_stats: DataFrame | None = None
 
-    def write(self, path: str) -> None:
-        """All tables as one new version; deletes reach all three or, if it fails, none."""
-        for name in ("articles", "favorites", "feedback"):
-            write_snapshot(getattr(self, name), f"{path}/{name}.parquet")
+    def write(self, path: str, after: int | None = None) -> int:
+        """All three tables as one new version of ``VersionedTables``: a delete reaches all of them or none."""
+        tables = {name: getattr(self, name) for name in ("articles", "favorites", "feedback")}
+        return VersionedTables(self.articles.sparkSession, path).publish(tables, after)
 
 
 def run_round(
@@ -35,7 +35,7 @@ def run_round(
     feedback: DataFrame,
     fetched: list[DataFrame],
     as_of: Column,
-    batch_limit: int = 50,
+    batch_limit: int | None = 50,
     stale_minutes: int = 10,
     skip_crawl: bool = False,
     skip_summary: bool = False,
@@ -48,7 +48,7 @@ def run_round(
     """One round over the three tables; ``fetched`` are article rows, one frame per source with its own ``seq``.
 
     The summary phase deletes articles above the model's limit, so it wants their ``token_count`` as the model
-    counts; characters are no stand-in.
+    counts; characters are no stand-in. ``batch_limit`` None claims every pending article.
     """
     if not skip_summary and token_count is None:
         raise ValueError("token_count: a column with the model's token count of an article")
@@ -63,9 +63,10 @@ def run_round(
         fresh = ingest.with_hash(arrived).join(created, keys, "left_semi")
         result.articles = ingest.append(fresh, current, as_of)
     if not skip_summary:
-        claimed = cut_lineage(tasks.claim(result.articles, as_of, batch_limit))
-        already = result.articles.where("summary_status = 'processing'").select("id")
-        mine = claimed.where("summary_status = 'processing'").join(already, "id", "left_anti")
+        # only ids and finished summaries are written down; bodies of all other articles stay where they are
+        chosen = cut_lineage(tasks.claimable(result.articles, batch_limit))
+        mine = result.articles.join(chosen, "id", "left_semi")
+        claimed = tasks.mark_claimed(result.articles, chosen, as_of)
         drafts = summarise.extractive(mine.withColumn("token_count", token_count), **options)
         made = cut_lineage(summarise.gate(summarise.batch(drafts, make_predict, model_version)))
         result.summary_stats = tasks.stats(made)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from articleflow.operators import corpus, evals, ingest, lengths, manifest, quality, reads, sample, stats, tasks, users
 from articleflow.operators.ordering import ordered_scan, position
 from articleflow.plans import summarise
-from articleflow.plans.jobs import run_round
+from articleflow.plans.jobs import Round, run_round
+from articleflow.sources.versions import VersionedTables
 from articleflow.plans.mapping import as_of
 from articleflow.sources import jsonl, runs, sinks
 from articleflow.sources.schemas import FAVORITES, FEEDBACK, MODEL_EVALUATIONS, NEWS_ARTICLES, RAW_ARTICLE
@@ -186,10 +187,11 @@ def test_round(spark, tmp_path):
     assert (row.completed, row.failed, row.deleted) == (2, 1, 1)
     crawl = done.crawl_stats.first()
     assert (crawl.fetched, crawl.created, crawl.rejected) == (2, 1, 1)
-    done.write(str(tmp_path / "v1"))
-    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "v1/articles.parquet")).collect()}
+    store = VersionedTables(spark, str(tmp_path / "v"))
+    assert store.latest() is None and done.write(str(tmp_path / "v")) == 1
+    got = {r.id: r for r in store.read("articles").collect()}
     assert {i: r.summary_status for i, r in got.items()} == {1: "completed", 3: "failed", 4: "failed", 5: "completed", 6: "completed"}
-    assert got[1].summary == "今天天气很好。我们决定去公园。" and spark.read.parquet(str(tmp_path / "v1/favorites.parquet")).count() == 0
+    assert got[1].summary == "今天天气很好。我们决定去公园。" and store.read("favorites").count() == 0
     idle = run_round(table, fav, fb, [new], as_of(NOW), skip_crawl=True, skip_summary=True)
     assert idle.crawl_stats is None and idle.articles.where("summary_status = 'pending'").count() == 3
 
@@ -359,3 +361,22 @@ def test_empty_groups_have_a_distribution(spark):
     assert got == {"a": (1, 1.0), "b": (0, None), None: (1, 3.0)}
     empty = stats.distribution(df.limit(0), ["v"]).collect()
     assert [(r["count"], r["mean"], r["max"]) for r in empty] == [(0, None, None)]
+
+
+def test_versions_are_published_whole_or_not_at_all(spark, tmp_path):
+    store = VersionedTables(spark, str(tmp_path / "v"))
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert Round(rows(1, 2), rows(1), rows(2)).write(str(tmp_path / "v")) == 1
+    broken = rows(5).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):  # the first table of the new version is written, the second fails
+        Round(rows(1), broken, rows()).write(str(tmp_path / "v"))
+    ids = lambda name, version=None: sorted(r.id for r in store.read(name, version).collect())
+    assert store.latest()[0] == 1 and (ids("articles"), ids("favorites"), ids("feedback")) == ([1, 2], [1], [2])
+    # again, from the tables it replaces
+    kept = Round(store.read("articles").where("id = 1"), store.read("favorites"), store.read("feedback").where("id = 1"))
+    assert kept.write(str(tmp_path / "v"), after=1) == 2
+    assert (ids("articles"), ids("favorites"), ids("feedback"), ids("articles", 1)) == ([1], [1], [], [1, 2])
+    with pytest.raises(RuntimeError, match="after 1"):
+        kept.write(str(tmp_path / "v"), after=1)
+    with pytest.raises(ValueError):
+        store.read("other")
