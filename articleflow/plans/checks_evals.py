@@ -24,11 +24,12 @@ def _pairs(spark, d):
     )
 
 
-GRAM_SQL = """
+TOKEN_SQL = """
 pairs AS (SELECT doc_id AS id, d.text AS prediction, b.text AS reference FROM documents d
   JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 tok AS (SELECT id, list_transform(regexp_extract_all(prediction, '[A-Za-z0-9]+|[^\\s]'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z0-9]') THEN lower(t) ELSE t END) AS p,
-  list_transform(regexp_extract_all(reference, '[A-Za-z0-9]+|[^\\s]'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z0-9]') THEN lower(t) ELSE t END) AS r FROM pairs),
+  list_transform(regexp_extract_all(reference, '[A-Za-z0-9]+|[^\\s]'), lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z0-9]') THEN lower(t) ELSE t END) AS r FROM pairs)"""
+GRAM_SQL = TOKEN_SQL + """,
 g AS (SELECT id, 1 AS n, unnest(p) AS gram, 1 AS c, 0 AS e FROM tok UNION ALL SELECT id, 1, unnest(r), 0, 1 FROM tok
   UNION ALL SELECT id, 2, unnest(list_transform(generate_series(1, len(p) - 1), lambda i: p[i] || ' ' || p[i + 1])), 1, 0 FROM tok
   UNION ALL SELECT id, 2, unnest(list_transform(generate_series(1, len(r) - 1), lambda i: r[i] || ' ' || r[i + 1])), 0, 1 FROM tok),
@@ -37,6 +38,15 @@ ov AS (SELECT id, n, sum(least(c, e)) AS o, sum(c) AS c, sum(e) AS e FROM cnt GR
 f AS (SELECT id, n, CASE WHEN o > 0 THEN 2 * (o / c) * (o / e) / (o / c + o / e) ELSE 0 END AS f, o, c, e FROM ov)"""
 
 
+#: Row by row of the table of common subsequences; tokens that the reference lacks change no row.
+LCS_SQL = """
+lcs AS (SELECT id, len(p) AS c, len(r) AS e, list_reduce(list_transform(list_filter(p, lambda t: list_contains(r, t)), lambda t: {'t': t, 'row': CAST([] AS BIGINT[])}),
+  lambda a, x: {'t': x.t, 'row': list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]),
+    lambda b, j: list_append(b, greatest(b[-1], CASE WHEN r[j[1]] = x.t THEN a.row[j[1]] + 1 ELSE a.row[j[1] + 1] END)), CAST([0] AS BIGINT[]))},
+  {'t': '', 'row': list_transform(range(0, len(r) + 1), lambda j: 0::BIGINT)}).row[-1] AS o FROM tok),
+lf AS (SELECT id, CASE WHEN o > 0 THEN 2 * (o / c) * (o / e) / (o / c + o / e) ELSE 0 END AS l FROM lcs)"""
+
+
 @query(
     "rouge_overlap",
     f"""WITH {GRAM_SQL} SELECT id, max(CASE WHEN n = 1 THEN o ELSE 0 END)::BIGINT AS overlap1, max(CASE WHEN n = 1 THEN c ELSE 0 END)::BIGINT AS predicted1,
@@ -52,9 +62,8 @@ def rouge_1(spark, d):
     return rounded(rouge.n(_pairs(spark, d), 1), ["rouge1"])
 
 
-@query("rouge_l")
+@query("rouge_l", f'WITH {TOKEN_SQL}, {LCS_SQL} SELECT id, round(l, 6) AS "rougeL" FROM lf')
 def rouge_l(spark, d):
-    """Rows only: SQL has no subsequence length; tests compare with brute force."""
     return rounded(rouge.l(_pairs(spark, d)), ["rougeL"])
 
 
@@ -71,16 +80,17 @@ def _predictions(spark, d):
 
 @query(
     "eval_score",
-    f"""WITH {GRAM_SQL}, s AS (SELECT doc_id AS id, CASE WHEN n_chars > 6000 THEN 'pipeline_contract_mismatch'
+    f"""WITH {GRAM_SQL}, {LCS_SQL}, s AS (SELECT doc_id AS id, CASE WHEN n_chars > 6000 THEN 'pipeline_contract_mismatch'
       WHEN lang IN ('es', 'de') THEN 'failed' ELSE 'evaluated' END AS status, CASE WHEN n_chars > 6000 THEN 'E:too_long' WHEN lang = 'es' THEN 'E:failed'
       WHEN lang = 'de' THEN 'RuntimeError: pipeline_returned_empty_summary' ELSE '' END AS error FROM documents)
     SELECT id, status, error, coalesce(round(max(f) FILTER (n = 1 AND status = 'evaluated'), 6), -1) AS rouge1,
-    coalesce(round(max(f) FILTER (n = 2 AND status = 'evaluated'), 6), -1) AS rouge2 FROM s JOIN f USING (id) GROUP BY ALL""",
+    coalesce(round(max(f) FILTER (n = 2 AND status = 'evaluated'), 6), -1) AS rouge2,
+    coalesce(round(max(l) FILTER (status = 'evaluated'), 6), -1) AS "rougeL" FROM s JOIN f USING (id) JOIN lf USING (id) GROUP BY ALL""",
 )
 def eval_score(spark, d):
     scored = rouge.score(_predictions(spark, d), _pairs(spark, d).select("id", "reference"))
     minus = lambda c: F.coalesce(F.round(c, 6), F.lit(-1.0)).alias(c)
-    return scored.select("id", "status", F.coalesce("error", F.lit("")).alias("error"), minus("rouge1"), minus("rouge2"))
+    return scored.select("id", "status", F.coalesce("error", F.lit("")).alias("error"), minus("rouge1"), minus("rouge2"), minus("rougeL"))
 
 
 def _scores(spark, d):
