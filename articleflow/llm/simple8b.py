@@ -139,11 +139,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "part", "inside", "n_tokens", "ids"],
                 )
 
-    # one row per part, and no more parts than tasks of the writing job
+    # one row of two numbers per part, and no more parts than tasks of the writing job: sent to all tasks, so ids stay where they are
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("_ids"))
         .select("part", F.coalesce(F.sum("_ids").over(earlier), F.lit(0)).alias("before"))
     )
     docs = blocks.select("part", "block", "first", "doc_ids", "counts", "words", "exceptions").mapInArrow(run, ddl)
-    return docs.join(parts, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
