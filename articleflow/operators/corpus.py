@@ -212,18 +212,35 @@ def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(number).cast("string").alias("digest"))
 
 
+def _rows_digest(row: Column) -> Column:
+    """Digest of rows of one place: a lone row's own; of several, their number and the sums of its eight parts."""
+    parts = [
+        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(8)
+    ]
+    several = sha256(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *parts))
+    return F.when(F.count(F.lit(1)) == 1, F.max(row)).otherwise(several)
+
+
 def sample_fingerprint(
     df: DataFrame, columns: Sequence[str], order: str, width: int = 4096, levels: int = 3
 ) -> DataFrame:
-    """Ordered digest of a table of any size: a tree of SHA-256 over ranges of ``order``, a whole number that names a row.
+    """Ordered digest of a table of any size: a tree of SHA-256 over ranges of ``order``, a whole number.
 
-    Each level joins the digests of ``width`` numbers, one per line; the last joins what is left. The result
-    depends on the rows and on ``width`` and ``levels`` alone, and no group is larger than a range.
+    Rows of equal order become one digest by sums, in tasks, so a repeated number (or null, which comes first) is
+    never gathered. Each level joins the digests of ``width`` numbers, one per line. ``levels`` is the least
+    depth; a wider range gets a deeper tree, so that no group, the last one included, has more than ``width``
+    numbers (and the one for null). The result depends on the rows, ``width`` and ``levels`` alone. An empty table has no row.
     """
     row = sha256(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    step = df.select(F.col(order).cast("long").alias("at"), row.alias("row"))
-    for level in range(levels):
-        at = F.lit(0).cast("long") if level == levels - 1 else F.floor(F.col("at") / width).cast("long")
+    at = F.col(order).cast("long")
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    depth, low, high = 1, low or 0, high or 0
+    while depth < levels or high - low >= width:
+        depth, low, high = depth + 1, low // width, high // width
+    step = df.select(at.alias("at"), row.alias("row")).groupBy("at").agg(_rows_digest(F.col("row")).alias("row"))
+    below = F.expr(f"at div {width} - if(at % {width} < 0, 1, 0)")
+    for level in range(depth):
+        up = F.lit(0).cast("long") if level == depth - 1 else below
         lines = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"])
-        step = step.withColumn("up", at).groupBy("up").agg(sha256(F.array_join(lines, "\n")).alias("row")).withColumnRenamed("up", "at")
+        step = step.withColumn("up", up).groupBy("up").agg(sha256(F.array_join(lines, "\n")).alias("row")).withColumnRenamed("up", "at")
     return step.select(F.col("row").alias("digest"))

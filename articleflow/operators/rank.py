@@ -3,13 +3,13 @@
 The graph joins every pair of sentences of a document, but no pair is ever a row. For sparse
 non-negative vectors the similarity matrix is W x transpose(W) with an empty diagonal, so a
 PageRank step is two sums over term weights. Dense vectors, whose negative cosines count as 0, are
-multiplied block by block. Documents up to a checked size are solved in one Arrow batch each;
+multiplied block by block, in cells of bounded size. Documents up to a checked size are solved in one Arrow batch each;
 larger ones by joins and aggregates, with checkpoints to cut lineage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ DIGITS = 9
 MAX_CELLS = 4_000_000
 MAX_SENTENCES = 2_048
 BLOCK = 512
+MAX_STRIP = 32
 
 
 def _converge(step: Callable[[np.ndarray], np.ndarray], out: np.ndarray) -> np.ndarray:
@@ -199,67 +200,93 @@ def joined_scores(vectors: DataFrame, nodes: DataFrame, key: str = "doc_id") ->
     return state.select(*at, "score")
 
 
-def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Clipped block products: per left row, neighbours and the weighted sum of similarities."""
-    for batch in batches:
-        rows = []
-        for doc, a, b, left_ids, left, right, x in zip(
-            batch["doc"], batch["a"], batch["b"], batch["ids"], batch["left"], batch["right"], batch["x"]
-        ):
-            graph = np.clip(np.stack(list(left)) @ np.stack(list(right)).T, 0.0, None)
-            if a == b:
-                np.fill_diagonal(graph, 0.0)
-            rows.append(
-                pd.DataFrame({
-                    "doc": doc, "id": list(left_ids), "z": graph @ np.asarray(x),
-                    "neighbours": (graph > 0).sum(axis=1),
-                })
-            )
-        if rows:
-            yield pd.concat(rows)
-
-
 def unit_blocks(vectors: DataFrame, key: str, item: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """(doc, block, ids, vectors) with unit vectors; a block never holds more than ``block`` rows."""
-    as_double = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.reduce(as_double, F.lit(0.0), lambda s, v: s + v * v))
-    safe = F.when(norm == 0, 1e-8).otherwise(norm)
+    """(doc, block, strip, strips, ids, vs): about ``block`` unit vectors each, laid end to end in ``vs``.
+
+    A document is cut into as many blocks as its size asks for, whatever its ids look like; ``item`` is unique
+    inside it. Rows without a key, an item or a vector take no part. Neighbouring blocks form strips: about
+    the root of their number each, at most ``MAX_STRIP``.
+    """
+    sizes = vectors.groupBy(F.col(key).alias("doc")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     rows = vectors.select(
-        F.col(key).alias("doc"),
-        F.floor(F.col(item) / block).alias("block"),
-        F.struct(
-            F.col(item).cast("long").alias("id"), F.transform(as_double, lambda v: v / safe).alias("v")
-        ).alias("_r"),
+        F.col(key).alias("doc"), F.col(item).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
+    ).where("doc is not null and id is not null and v is not null")
+    norm = F.sqrt(F.reduce("v", F.lit(0.0), lambda s, v: s + v * v))
+    safe = F.when(norm == 0, 1e-8).otherwise(norm)
+    placed = rows.withColumn("v", F.transform("v", lambda v: v / safe)).join(sizes, "doc").select(
+        "doc", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.struct("id", "v").alias("_r")
     )
-    listed = rows.groupBy("doc", "block").agg(F.array_sort(F.collect_list("_r")).alias("_r"))
+    listed = placed.groupBy("doc", "blocks", "block").agg(F.array_sort(F.collect_list("_r")).alias("_r"))
+    width = F.least(F.ceil(F.sqrt("blocks")), F.lit(MAX_STRIP))
     return listed.select(
         "doc",
         "block",
+        F.floor(F.col("block") / width).alias("strip"),
+        F.ceil(F.col("blocks") / width).alias("strips"),
         F.transform("_r", lambda r: r["id"]).alias("ids"),
-        F.transform("_r", lambda r: r["v"]).alias("vs"),
+        F.flatten(F.transform("_r", lambda r: r["v"])).alias("vs"),
     )
 
 
+def cells(blocks: DataFrame) -> DataFrame:
+    """Blocks once for every cell (doc, i, j), i <= j, in which their strip meets another: the unit of work.
+
+    A document of any size is cut into cells of two strips, so a hot one is spread over all tasks, every pair of
+    its blocks meets once, and a block is copied as often as there are strips.
+    """
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)).alias("_o")
+    return blocks.select("*", met).select(
+        *blocks.columns, F.least("strip", "_o").alias("i"), F.greatest("strip", "_o").alias("j")
+    )
+
+
+def _cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Clipped block products of one cell: per row, neighbours and the weighted sum of similarities."""
+    held = [
+        (block, strip, np.asarray(ids), np.asarray(vs).reshape(len(ids), -1), np.asarray(x))
+        for block, strip, ids, vs, x in zip(cell["block"], cell["strip"], cell["ids"], cell["vs"], cell["x"])
+    ]
+    z = {h[0]: np.zeros(len(h[2])) for h in held}
+    near = {h[0]: np.zeros(len(h[2]), "int64") for h in held}
+    own = cell["i"].iloc[0] == cell["j"].iloc[0]
+    for a, strip, _, left, x in held:
+        if strip != cell["i"].iloc[0]:
+            continue
+        for b, other, _, right, y in held:
+            if other != cell["j"].iloc[0] or own and b < a:
+                continue
+            graph = np.clip(left @ right.T, 0.0, None)
+            if a == b:
+                np.fill_diagonal(graph, 0.0)
+            else:
+                z[b] += x @ graph
+                near[b] += (graph > 0).sum(axis=0)
+            z[a] += graph @ y
+            near[a] += (graph > 0).sum(axis=1)
+    return pd.DataFrame({
+        "doc": cell["doc"].iloc[0],
+        "id": np.concatenate([h[2] for h in held]),
+        "z": np.concatenate([z[h[0]] for h in held]),
+        "neighbours": np.concatenate([near[h[0]] for h in held]),
+    })
+
+
 def block_step(blocks: DataFrame, x: DataFrame | None = None) -> DataFrame:
     """(doc, id, z, neighbours): clipped similarity times ``x`` (doc, id, x); ones by default.
 
-    Blocks of a document meet, not its rows; what leaves a block pair is one number per row.
+    Strips of blocks meet in cells, not rows; what leaves a cell is one number per row.
     """
-    right = blocks.select("doc", F.col("block").alias("b"), F.col("ids").alias("_ids"), F.col("vs").alias("right"))
     if x is None:
-        right = right.withColumn("x", F.transform("_ids", lambda _: F.lit(1.0)))
+        given = blocks.withColumn("x", F.transform("ids", lambda _: F.lit(1.0)))
     else:
-        flat = right.select("doc", "b", F.posexplode("_ids").alias("_pos", "id")).join(x, ["doc", "id"])
-        packed = flat.groupBy("doc", "b").agg(
+        flat = blocks.select("doc", "block", F.posexplode("ids").alias("_pos", "id")).join(x, ["doc", "id"])
+        packed = flat.groupBy("doc", "block").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("_pos", "x"))), lambda r: r["x"]).alias("x")
         )
-        right = right.join(packed, ["doc", "b"])
-    met = blocks.select("doc", F.col("block").alias("a"), "ids", F.col("vs").alias("left")).join(
-        right.drop("_ids"), "doc"
-    )
+        given = blocks.join(packed, ["doc", "block"])
     kind = blocks.schema["doc"].dataType.simpleString()
-    sums = met.select("doc", "a", "b", "ids", "left", "right", "x").mapInPandas(
-        _partial, f"doc {kind}, id bigint, z double, neighbours bigint"
+    sums = cells(given).groupBy("doc", "i", "j").applyInPandas(
+        _cell, f"doc {kind}, id bigint, z double, neighbours bigint"
     )
     return sums.groupBy("doc", "id").agg(F.sum("z").alias("z"), F.sum("neighbours").alias("neighbours"))
 

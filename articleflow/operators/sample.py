@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from articleflow.functions.text import sha256
 from articleflow.operators.corpus import identity
@@ -66,25 +67,46 @@ def around_quantiles(
     """Rows near chosen quantiles and rows just below the upper bound, as (index, value, kind).
 
     Each neighbourhood is a top-``near`` by distance; of those, ``picks`` are taken by seeded
-    hash. The stress set comes from the narrowest band below ``upper`` with enough rows.
+    hash. The stress set comes from the narrowest band below ``upper`` with enough rows; without one the
+    result is an error. All neighbourhoods and bands are ranked in one scan, and a task keeps no more of one than
+    its limit (bounded by ``spark.sql.optimizer.windowGroupLimitThreshold``); the choice is made among those few.
     """
-    rows = df.select(F.col(index), F.col(value))
-    hashed = selection_hash(F.col(index).cast("string"), str(seed))
-    targets = quantiles(rows, value, ratios)
-    chosen = None
-    for ratio in ratios:
-        goal = targets.where(F.col("ratio") == float(ratio)).select("quantile").scalar()
-        close = rows.withColumn("_gap", F.abs(F.col(value) - goal)).orderBy("_gap", index).limit(near)
-        if chosen is not None:
-            close = close.join(chosen.select(index), index, "left_anti")
-        picked = close.orderBy(hashed, index).limit(picks).select(
-            index, value, F.lit(f"p{int(ratio * 100)}").alias("kind")
-        )
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    bands = [rows.where(F.col(value).between(upper - w, upper - 1)) for w in widths]
-    sizes = rows.agg(*[F.count_if(F.col(value).between(upper - w, upper - 1)) for w in widths]).first()
-    for band, size, width in zip(bands, sizes, widths):
-        if size >= stress:
-            top = band.orderBy(hashed, index).limit(stress)
-            return chosen.unionByName(top.select(index, value, F.lit(f"within_{width}").alias("kind")))
-    raise ValueError(f"fewer than {stress} rows within {widths[-1]} of the upper bound")
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if max(near, stress) > most:
+        raise ValueError(f"neighbourhoods of more than {most} rows would be sorted whole")
+    rows = df.select(F.col(index).alias("index"), F.col(value).alias("value"))
+    hashed = selection_hash(F.col("index").cast("string"), str(seed))
+    entries = F.collect_list(F.struct("ratio", "quantile"))
+    goals = quantiles(rows, "value", ratios).agg(F.map_from_entries(entries)).scalar()
+    targets = {f"p{int(r * 100)}": F.abs(F.col("value") - F.element_at("_goals", F.lit(float(r)))) for r in ratios}
+    bands = {f"within_{w}": F.col("value").between(upper - w, upper - 1) for w in widths}
+    place = lambda kind, gap, key: F.struct(F.lit(kind).alias("kind"), gap.alias("gap"), key.alias("key"))
+    offers = F.array(
+        *[place(kind, gap.cast("double"), F.lit("")) for kind, gap in targets.items()],
+        *[F.when(inside, place(kind, F.lit(0.0), hashed)) for kind, inside in bands.items()],
+    )
+    offered = (
+        rows.where("value is not null")
+        .withColumn("_goals", goals)
+        .select("index", "value", F.explode(offers).alias("_o"))
+        .where("_o is not null")
+        .select("index", "value", "_o.*")
+    )
+    line = Window.partitionBy("kind").orderBy("gap", "key", "index")
+    top = (
+        offered.withColumn("_n", F.row_number().over(line))
+        .where(F.col("_n") <= max(near, stress))
+        .where(F.col("_n") <= F.when(F.col("kind").isin(*bands), stress).otherwise(near))
+    )
+    entry = F.struct(hashed.alias("hash"), "index", "value", "kind")
+    state = top.agg(F.array_sort(F.collect_list(entry)).alias("_c")).withColumn("_p", F.slice("_c", 1, 0))
+    of_kind = lambda kind: F.filter("_c", lambda c: c["kind"] == kind)
+    for kind in targets:
+        free = F.filter(of_kind(kind), lambda c: ~F.exists("_p", lambda p: p["index"].eqNullSafe(c["index"])))
+        state = state.withColumn("_p", F.concat("_p", F.slice(free, 1, picks)))
+    full = [of_kind(kind) for kind in bands]
+    none = F.raise_error(F.lit(f"fewer than {stress} rows within {max(widths)} of the upper bound"))
+    band = F.coalesce(*[F.when(F.size(b) >= stress, b) for b in full], none)
+    return state.select(F.inline(F.concat("_p", band))).select(
+        F.col("index").alias(index), F.col("value").alias(value), "kind"
+    )

@@ -25,7 +25,7 @@ def encode(
 ) -> DataFrame:
     """(doc_id, sent_idx, term, weight) of sentence rows: term count x ln((N+1)/(df+1)).
 
-    The frequency table has at most ``dimensions`` rows, so it is broadcast.
+    The frequency table has at most ``dimensions`` rows; how it is joined is left to Catalyst.
     """
     found = (
         tokens(F.col("sentence"))

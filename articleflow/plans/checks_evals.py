@@ -352,13 +352,37 @@ def latest_eval(spark, d):
 @query(
     "evals_append",
     f"""WITH {EVAL_SQL}, {RUNS_SQL} SELECT id, model_version, rougeL FROM ev UNION ALL
-    SELECT user_id + 100000, model_version, rougeL FROM q WHERE rougeL >= 0.4 AND quality_pass_rate >= 0.9 AND n > 50""",
+    SELECT user_id + 100000, model_version, rougeL FROM q WHERE n > 50 AND high = 0 AND rougeL >= 0.4
+      AND quality_pass_rate >= 0.95 AND lrate >= 0.95 AND round(p95, 3) < 1500""",
 )
 def evals_append(spark, d):
-    timing = _benches(spark, d).select("model_version", "avg_generation_time_ms", "p95_generation_time_ms")
-    runs = _runs(spark, d).where("corpus_rougeL >= 0.4 and quality_pass_rate >= 0.9").join(timing, "model_version")
-    accepted = runs.withColumnRenamed("corpus_rougeL", "rougeL").withColumnRenamed("evaluated_count", "sample_count").withColumn(
-        "id", F.substring("run_id", 3, 8).cast("long") + 100000
+    """Runs that pass the gate join the stored evaluations."""
+    timing = _benches(spark, d).select(
+        "model_version", "latency_pass_rate", "avg_generation_time_ms", "p95_generation_time_ms"
     )
-    table = evals.append(accepted, _evaluations(spark, d), as_of(NOW))
+    runs = _runs(spark, d).withColumnsRenamed({"corpus_rougeL": "rougeL", "evaluated_count": "sample_count"})
+    accepted, _ = evals.gate(runs.join(timing, "model_version", "left"))
+    numbered = accepted.withColumn("id", F.substring("run_id", 3, 8).cast("long") + 100000)
+    table = evals.append(numbered, _evaluations(spark, d), as_of(NOW))
     return table.select("id", "model_version", F.col("rougeL").cast("double").alias("rougeL"))
+
+
+@query(
+    "runs_refused",
+    f"""WITH {RUNS_SQL} SELECT 'evaluated_count' AS field, (SELECT count(*) FROM q WHERE n % 2 = 1) AS refused
+    UNION ALL SELECT 'formal_result', (SELECT count(*) FROM q WHERE task = 'other')
+    UNION ALL SELECT 'kept', (SELECT count(*) FROM q)""",
+)
+def runs_refused(spark, d):
+    """Odd values through files: half counts and a flag as text are refused, their records stay."""
+    path = fresh_path(spark, "odd-runs")
+    odd = _runs(spark, d).select(
+        "run_id", "task", (F.col("evaluated_count") / 2).alias("halves"),
+        F.when(F.col("task") == "other", F.lit("yes")).alias("formal_result"),
+    )
+    count = F.when(F.col("halves") % 1 == 0, F.format_string("%d", F.col("halves").cast("long"))).otherwise(F.col("halves").cast("string"))
+    fields = F.concat(F.lit('{"evaluated_count":'), count, F.lit(","), F.expr("substring(to_json(struct(run_id, task, formal_result)), 2)"))
+    odd.select(fields.alias("value")).write.text(path)
+    counts = run_registry.refused(spark, path, multi_line=False).where("refused > 0")
+    kept = run_registry.read(spark, path, multi_line=False).agg(F.count(F.lit(1)).alias("refused"))
+    return counts.unionByName(kept.select(F.lit("kept").alias("field"), "refused"))

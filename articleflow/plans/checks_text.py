@@ -182,21 +182,28 @@ def cosine_degrees(spark, d):
     return rounded(found, ["out_sum"])
 
 
-@query(
-    "rank_embeddings",
-    f"""WITH RECURSIVE {GRAPH_SQL}, n AS (SELECT label, count(*) AS n FROM u GROUP BY label),
+RANK_EMBEDDINGS_SQL = f"""WITH RECURSIVE {GRAPH_SQL}, n AS (SELECT label, count(*) AS n FROM u GROUP BY label),
     t AS (SELECT e.label, e.i, e.j, s / CASE WHEN out_sum = 0 THEN 1 ELSE out_sum END AS p FROM e JOIN o ON o.label = e.label AND o.i = e.i),
     it(k, label, id, score, done) AS (SELECT 0, u.label, vec_id, 1.0::DOUBLE / n, false FROM u JOIN n USING (label)
       UNION ALL SELECT k + 1, label, id, fresh, sum(abs(fresh - score)) OVER (PARTITION BY label) < 1e-4 FROM (
         SELECT it.k, it.label, it.id, it.score, 0.85 * coalesce(z.z, 0) + 0.15 / n.n AS fresh FROM it JOIN n USING (label)
         LEFT JOIN (SELECT t.label, t.j, sum(t.p * x.score) AS z FROM t JOIN it x ON x.label = t.label AND x.id = t.i GROUP BY ALL) z
           ON z.label = it.label AND z.j = it.id WHERE NOT it.done AND it.k < 100))
-    SELECT label, id AS vec_id, round(arg_max(score, k), 6) AS score FROM it GROUP BY label, id""",
-)
+    SELECT label, id AS vec_id, round(arg_max(score, k), 6) AS score FROM it GROUP BY label, id"""
+
+
+@query("rank_embeddings", RANK_EMBEDDINGS_SQL)
 def rank_embeddings(spark, d):
     return rounded(rank.dense_scores(read(spark, d, "embeddings"), "label", "vec_id", "embedding"), ["score"])
 
 
+@query("rank_embeddings_blocks", RANK_EMBEDDINGS_SQL)
+def rank_embeddings_blocks(spark, d):
+    """The way of groups beyond one batch: every label by cells of block products."""
+    found = rank.dense_scores(read(spark, d, "embeddings"), "label", "vec_id", "embedding", max_sentences=1, block=32)
+    return rounded(found, ["score"])
+
+
 @query("rank_sentences")
 def rank_sentences(spark, d):
     """Rows only: iterating in SQL over all documents is too slow; tests compare with brute force."""

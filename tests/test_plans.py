@@ -88,3 +88,14 @@ def test_by_key_follows_the_files(spark, monkeypatch):
 def test_texts_are_placed_in_a_few_tasks_per_core(spark, name):
     counts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", of(spark, name))]
     assert all(n <= 4 * spark.sparkContext.defaultParallelism for n in counts)
+
+
+def test_quantile_samples_rank_inside_tasks_in_one_scan(spark):
+    text = of(spark, "quantile_sample")
+    assert text.count("FileScan") == 3, text  # the ranking's one and the two of the quantiles
+    assert "WindowGroupLimit" in text
+
+
+def test_dense_graph_has_no_join_of_blocks(spark):
+    text = of(spark, "cosine_degrees")
+    assert "FlatMapGroupsInPandas" in text and re.search(r"hashpartitioning\(doc#\d+, i#\d+L, j#\d+L", text)

@@ -81,6 +81,26 @@ def test_degrees_in_blocks(spark):
         assert got[i][0] == sum(s > 0 for s in sims) and got[i][1] == pytest.approx(sum(sims))
 
 
+def test_one_label_is_spread_over_cells(spark):
+    rng = np.random.default_rng(3)
+    vs = rng.normal(size=(400, 5))
+    ids = [int(i) for i in rng.choice(1 << 60, 400, replace=False)]
+    extra = [(1, ids[0] + 1, None), (None, 5, [1.0] * 5), (1, None, [1.0] * 5)]
+    df = spark.createDataFrame([(1, i, v.tolist()) for i, v in zip(ids, vs)] + extra, "doc long, item long, v array<double>")
+    blocks = rank.unit_blocks(df, "doc", "item", "v", block=16)
+    sizes = blocks.selectExpr("size(ids) as n").collect()
+    assert sum(r.n for r in sizes) == 400 and len(sizes) == 26 and max(r.n for r in sizes) < 48
+    held = rank.cells(blocks).groupBy("i", "j").count().collect()
+    assert len(held) == 5 * 6 // 2 and max(r["count"] for r in held) <= 12
+    got = {r.item: (r.neighbours, r.out_sum) for r in rank.degrees(df, "doc", "item", "v", block=16).collect()}
+    unit = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    sims = np.clip(unit @ unit.T, 0, None)
+    np.fill_diagonal(sims, 0)
+    assert len(got) == 400
+    for i, row in zip(ids, sims):
+        assert got[i][0] == (row > 0).sum() and got[i][1] == pytest.approx(row.sum())
+
+
 def _split(sentence, most):
     if len(sentence) <= most:
         return [sentence]

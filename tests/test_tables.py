@@ -317,6 +317,71 @@ def test_sample_fingerprint_is_a_tree(spark):
     assert corpus.sample_fingerprint(df, ["id"], "id", width=3).first().digest == want
 
 
+def _tree_digest(pairs, width, depth):
+    """Brute force: (order, row digest) pairs; repeats by sums, then levels of ranges."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    places = {}
+    for at, row in pairs:
+        places.setdefault(at, []).append(row)
+    rows = {}
+    for at, all_rows in places.items():
+        sums = [str(sum(int(r[8 * i:8 * i + 8], 16) for r in all_rows)) for i in range(8)]
+        rows[at] = all_rows[0] if len(all_rows) == 1 else digest(":".join([str(len(all_rows)), *sums]))
+    largest = 0
+    for level in range(depth):
+        up = {}
+        for at in sorted(rows, key=lambda a: (a is not None, a or 0)):
+            to = 0 if level == depth - 1 else at if at is None else at // width
+            up.setdefault(to, []).append(rows[at])
+        largest = max(largest, *map(len, up.values()))
+        rows = {at: digest("\n".join(v)) for at, v in up.items()}
+    return rows[0], largest
+
+
+@pytest.mark.parametrize(
+    "orders, depth",
+    [([-(1 << 63), -5, 3, 3, 3, 1 << 62, (1 << 63) - 1, None, None], 16), ([7] * 500 + [8], 3), (list(range(-40, 300)), 3), ([None], 3)],
+)
+def test_sample_fingerprint_of_sparse_and_repeated_orders(spark, orders, depth):
+    rows = [(i, at) for i, at in enumerate(orders)]
+    text = lambda i, at: f'{{"id":{i},"at":{"null" if at is None else at}}}'
+    pairs = [(at, hashlib.sha256(text(i, at).encode()).hexdigest()) for i, at in rows]
+    want, largest = _tree_digest(pairs, 16, depth)
+    df = spark.createDataFrame(rows[::-1], "id long, at long")
+    assert corpus.sample_fingerprint(df, ["id", "at"], "at", width=16).first().digest == want
+    assert largest <= 17
+    assert corpus.sample_fingerprint(df.limit(0), ["id", "at"], "at").count() == 0
+
+
+def test_odd_values_are_refused_field_by_field(spark, tmp_path):
+    for name, text in (
+        ("a", '{"run_id": "a", "task": "B2-10", "formal_result": "true", "evaluated_count": 5.5, "rouge1": 1}'),
+        ("b", '{"run_id": "b", "task": 7, "formal_result": true, "evaluated_count": "5", "rouge1": "0.5", "rouge2": null, "more": [1]}'),
+        ("c", '{"run_id": 5, "task": "B2-10"}'), ("d", "17"), ("e", ""), ("f", '[{"run_id": "f"}]'),
+        ("g", '{\n"run_id": "g",\n"evaluated_count": 12, "rouge1": 1e-1}'),
+    ):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = {r.run_id: r for r in runs.read(spark, str(tmp_path / "*.json")).collect()}
+    assert sorted(found) == ["a", "b", "g"]
+    assert (found["a"].task, found["a"].formal_result, found["a"].evaluated_count, found["a"].rouge1) == ("B2-10", None, None, 1.0)
+    assert (found["b"].task, found["b"].formal_result, found["b"].evaluated_count, found["b"].rouge1) == (None, True, None, None)
+    assert (found["g"].evaluated_count, found["g"].rouge1) == (12, 0.1)
+    counts = {r.field: r.refused for r in runs.refused(spark, str(tmp_path / "*.json")).collect() if r.refused}
+    assert counts == {"task": 1, "formal_result": 1, "evaluated_count": 2, "rouge1": 1}
+
+
+def test_samples_around_quantiles_need_a_full_band(spark):
+    rows = spark.createDataFrame([(i, 400 + i) for i in range(100)], "id long, v long")
+    got = sample.around_quantiles(rows, "v", "id", near=6, picks=2, stress=3, upper=480, widths=(2, 8)).collect()
+    assert [sum(r.kind == k for r in got) for k in ("p50", "p75", "p90", "within_2", "within_8")] == [2, 2, 2, 0, 3]
+    assert all(472 <= r.v <= 479 for r in got if r.kind == "within_8")
+    assert all(abs(r.v - 449.5) <= 3 for r in got if r.kind == "p50")
+    with pytest.raises(Exception, match="fewer than 9 rows"):
+        sample.around_quantiles(rows, "v", "id", stress=9, upper=480, widths=(2, 8)).collect()
+    with pytest.raises(ValueError):
+        sample.around_quantiles(rows, "v", "id", near=5000)
+
+
 def test_two_sources_number_their_rows_alone(spark, tmp_path):
     row = lambda *r: (*r, "u", None)
     schema = "seq long, title string, content string, category string, source string, source_url string, publish_time timestamp_ntz"
