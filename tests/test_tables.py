@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,47 @@ def test_sample_ignores_input_order(spark):
         sample.by_hash(make(rows), 0, "x")
 
 
+RATIOS = [0.0, 0.1, 0.5, 0.75, 0.99, 1.0]
+
+
+def _inside(spark, rows, by, most):
+    """Most distinct values that any bracket encloses."""
+    held = stats.brackets(rows, RATIOS, by, most).select(*by, F.explode("_w._t").alias("t"))
+    met = rows.join(held, by) if by else rows.crossJoin(held)
+    inside = met.where("_v >= t.from and _v <= t.to").groupBy(*by, "t.ratio").agg(F.count_distinct("_v").alias("n"))
+    return inside.agg(F.max("n")).first()[0]
+
+
+def test_quantile_brackets_narrow_to_a_bound(spark):
+    rows = spark.range(1_000_000).select(((F.col("id") * 7919) % 1_000_003).cast("double").alias("_v"))
+    assert _inside(spark, rows, [], 100_000) > 300
+    assert _inside(spark, rows, [], 20) <= 22
+    wide = {r.ratio: r.quantile for r in stats.quantiles(rows, "_v", RATIOS).collect()}
+    assert wide == {r.ratio: r.quantile for r in stats.quantiles(rows, "_v", RATIOS, most=20).collect()}
+    values = sorted(r._v for r in rows.collect())
+    assert all(wide[r] == pytest.approx(np.quantile(values, r)) for r in RATIOS)
+
+
+def test_quantile_brackets_pass_heavy_values(spark):
+    """A third of all rows is one value next to wanted ranks; groups and a null group."""
+    light = F.when(F.col("id") % 3 == 0, 500.0).otherwise((F.col("id") * 31 % 9973) / 10)
+    rows = spark.range(60_000).select(F.when(F.col("id") < 50_000, "a").when(F.col("id") < 59_000, "b").alias("g"), light.alias("_v"))
+    pdf = rows.where("g is not null").toPandas()
+    got = stats.quantiles(rows, "_v", RATIOS, ["g"], most=3).collect()
+    assert len(got) == 12
+    for r in got:
+        assert r.quantile == pytest.approx(np.quantile(pdf[pdf.g == r.g]["_v"], r.ratio))
+    assert _inside(spark, rows, ["g"], 3) <= 6
+
+
+def test_rank_outside_its_bracket_is_an_error(spark):
+    rows = spark.range(100).select(F.col("id").cast("double").alias("_v"))
+    moved = lambda t: t.withField("from", F.lit(70.0)).withField("to", F.lit(80.0))
+    wrong = stats.brackets(rows, [0.5], []).withColumn("_w", F.col("_w").withField("_t", F.transform("_w._t", moved)))
+    with pytest.raises(Exception, match="outside its bracket"):
+        stats._select(rows, wrong, []).collect()
+
+
 def test_manifest_must_map(spark):
     base = spark.createDataFrame([(0, "a", 5), (1, "b", 600)], "source_index long, id string, token_count int")
     good = manifest.rejoin(base, manifest.build(base))[1]
