@@ -26,7 +26,8 @@ _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 BLANK_LETTER = chr(BYTE_LETTERS[0x20])
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: A word of letters and the run of marks behind it, which both vocabularies cut off as one piece.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 
 
 class Encoder:
@@ -70,7 +71,9 @@ class Encoder:
     def _words(self, text: str) -> list[str] | None:
         """What a text is joined from; None for texts that only the library can cut."""
         if not self.blanks:
-            return text.replace("\n", " ").split(" ")
+            # that vocabulary knows lower case only; A-Z at once, so that words share entries (a mark like <|NAME|> stays as it is)
+            lowered = text if "<|" in text else text.encode().lower().decode()
+            return lowered.replace("\n", " ").split(" ")
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or "\0" in text or _ODD.search(text):
             return None
         # a single line end between words is a piece of its own, several are left inside a word
@@ -107,7 +110,7 @@ class Encoder:
         ]
         for word in [w for w in new if len(w) > LONGEST_KEPT]:
             self.known.pop(word, None)
-            self.known.pop(word.rstrip(".,;:!?"), None)
+            self.known.pop(word.rstrip(".,;:!?#*$%&"), None)
         self.held += max(0, len(self.known) - before) * (150 + 2 * LONGEST_KEPT)
         return made
 
