@@ -107,7 +107,7 @@ def test_token_counts_equal_the_library(pieces):
 def test_encoder_equals_the_library(name, blanks):
     encoder = encode.Encoder(public_tokenizers.path(name), blanks)
     random.seed(3)
-    parts = ["the", "The", " ", " a", "b.", "\n", "é", "é", "́", "😀", "ing", "<|endoftext|>", "'s", "'", "\t", "12", ".", "\xa0", "\x1c", "İ"]
+    parts = ["the", "The", " ", " a", "b.", "\n", "é", "é", "́", "😀", "ing", "<|endoftext|>", "'s", "'", "\t", "12", ".", "\xa0", "\x1c", "İ", "!!", "x###", ",$%", "<|ENDOFTEXT|>", "<|", "É", "Σ"]
     for _ in range(3000):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 9)))
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
