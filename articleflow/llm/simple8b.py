@@ -84,7 +84,7 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, blanks: bool, en
     """Encode whole texts and write their ids in ascending doc_id order; equal ids in the order of a text hash.
 
     Null doc_ids come first, null texts are empty and have only ``end_id``. Texts are ranged by id before they
-    are encoded, so ids never travel; other columns are not read.
+    are encoded, so ids never travel; equal rows may lie in several parts. Other columns are not read.
     """
     tail = np.array([end_id], "<u4").tobytes()
 
@@ -112,8 +112,8 @@ def write(documents: DataFrame, path: str, tokenizer_path: str, blanks: bool, en
             yield made()
 
     ordered = (
-        documents.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-        .repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+        documents.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_row"))
+        .repartitionByRange("doc_id", "_tie", "_row").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     )
     ordered.mapInArrow(run, BLOCKS).write.parquet(path)
 
