@@ -149,6 +149,25 @@ def test_token_counts(spark, texts):
         assert rows[doc] == (len(text.encode()), n, n > 4096)
 
 
+def brute_tree(text):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    leaves = [[md5(p) for p in re.findall(r"[^.!?]{1,16}[.!?]*|[.!?]+", line)] for line in text.split("\n")]
+    nodes = [md5("".join(line)) for line in leaves]
+    sections = [md5("".join(nodes[i : i + 8])) for i in range(0, len(nodes), 8)]
+    marks = sorted({h[:8] for line in leaves for h in line})[:128]
+    return hashlib.sha256("".join(sections).encode()).hexdigest() + ":" + "".join(marks)
+
+
+def brute_likeness(a, b):
+    (root, marks), (other_root, others) = (f.split(":") for f in (a, b))
+    if root == other_root:
+        return 1.0
+    marks, others = ({m[i : i + 8] for i in range(0, len(m), 8)} for m in (marks, others))
+    smallest = set(sorted(marks | others)[:128])
+    common = len(smallest & marks & others)
+    return min(2 * common / (len(smallest) + common), 0.999999) if smallest else 0.0
+
+
 def test_fingerprints(spark, texts):
     rows = {r["doc_id"]: r for r in queries_native.op5(spark, FOLDER).collect()}
     ordered = sorted(texts, reverse=True)
@@ -161,10 +180,33 @@ def test_fingerprints(spark, texts):
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (text == edited)
         assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1 and (r["near_edited"] == 1) == (text == edited)
         assert (r["near_next"] == 1) == (text == following)
+        # likeness is computed from the two published fingerprints, which follow from the text alone
+        assert r["fingerprint"] == brute_tree(text) and r["edited_fingerprint"] == brute_tree(edited)
+        assert r["near_edited"] == pytest.approx(brute_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(brute_likeness(r["fingerprint"], rows[ordered[(i + 1) % len(ordered)][0]]["fingerprint"]))
+        assert len(r["fingerprint"]) <= 65 + 8 * merkle.SAMPLE
     long = [rows[d] for d, t in texts if len(t) > 600]
     assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long]) + 0.3
 
 
+def test_published_fingerprints_suffice(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [("One. Two three. Four!", "One. Two three. Five!"), ("", "some"), ("", ""), ("same", "same"), ("w. " * 9 + "".join(f"{i} is here. " for i in range(400)), "x")]
+    trees = spark.createDataFrame(pairs, "a string, b string").select(*(merkle.tree(F.col(c)).alias(c) for c in "ab"))
+    a, b = F.col("a"), F.col("b")
+    parsed = [merkle.from_text(merkle.as_text(x)) for x in (a, b)]
+    for r in trees.select(merkle.likeness(a, b).alias("x"), merkle.likeness(*parsed).alias("y"), F.length(merkle.as_text(a)).alias("n")).collect():
+        assert r["x"] == r["y"] and r["n"] <= 65 + 8 * merkle.SAMPLE
+
+
+def test_one_id_is_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET_ROWS", 4)
+    rows = [(7 if i % 3 else None if i % 2 else i, f"text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) as _tie")
+    assert docs.count() == 600 and merkle._bucketed(docs).groupBy("_bucket").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_edits_are_located(spark):
     from pyspark.sql import functions as F
 
@@ -177,7 +219,8 @@ def test_edits_are_located(spark):
     assert row["b"] == [11] and row["c"] == list(range(20, 30)) and row["a"] == []
 
 
-@pytest.mark.parametrize("ids", [[5, 3, 9], [1], [0, 1 << 40, 7, 8], [None, 4, None, 2], [3, 3, 3]])
+@pytest.mark.parametrize("ids", [[5, 3, 9], [1], [0, 1 << 40, 7, 8], [None, 4, None, 2], [3, 3, 3],
+                                 [*[3] * 40, *range(-3, 9), *[None] * 30, 1 << 62, -(1 << 62)]])
 def test_next_document(spark, monkeypatch, ids):
     for wanted in (1, 256):
         monkeypatch.setattr(merkle, "BUCKET_ROWS", wanted)
