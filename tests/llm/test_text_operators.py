@@ -114,6 +114,20 @@ def test_encoder_equals_the_library(name, blanks):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, text
 
 
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_forgets_and_keeps_no_long_words(name, blanks, monkeypatch):
+    monkeypatch.setattr(encode, "MAX_BYTES", 2000)
+    monkeypatch.setattr(encode, "CHUNK_CHARS", 300)
+    encoder = encode.Encoder(public_tokenizers.path(name), blanks)
+    random.seed(5)
+    words = ["word", "Ähre,", "x" * 200, "é" * 90 + "!!", "1" * 100, "a.b", *("".join(random.choices("abcé", k=6)) for _ in range(200))]
+    texts = ["", *(" ".join(random.choices(words, k=random.randint(1, 40))) for _ in range(200)), "", "  two  blanks ", "\n"]
+    for _ in range(2):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts)]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder.slots)) <= encode.LONGEST_KEPT and len(encoder.slots) < 60
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 60, 61, 1000):
