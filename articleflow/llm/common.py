@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from articleflow.session import fresh_path
+from articleflow.session import staged  # noqa: F401
 
 Rows = Callable[[list, list], dict[str, list]]
 
@@ -16,13 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the folder all executors share, and read back: cuts lineage."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow types of the few Spark types that these operators return."""
     kinds = {

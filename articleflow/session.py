@@ -70,7 +70,7 @@ def source_bytes(df: DataFrame) -> int | None:
     return sum(sizes.values()) if sizes else None
 
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
+def by_key(df: DataFrame, *key: str) -> DataFrame:
     """Place rows by key while they are still compact, so that all later work by key stays local.
 
     The number is given where files tell it, so adaptive execution does not merge CPU-heavy partitions for being
@@ -78,8 +78,15 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     """
     size = source_bytes(df)
     if size is None:
-        return df.repartition(key)
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK), key)
+        return df.repartition(*key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK), *key)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the folder all executors share, and read back: cuts lineage, and files have a known size."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 FAN = 4
 BUCKETS = 64
-ROWS = "content_hash string, bucket int"
+ROWS = "content_hash string, seq long, bucket int"
 
 
 def runs_before(batch: int, fan: int = FAN) -> list[tuple[int, int]]:
@@ -38,7 +38,8 @@ class ContentIndex:
 
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         digits = F.conv(F.substring("content_hash", 1, 4), 16, 10).cast("int")
-        return rows.select("content_hash", (digits % self.buckets).alias("bucket"))
+        seq = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(None).cast("long")
+        return rows.select("content_hash", seq.alias("seq"), (digits % self.buckets).alias("bucket"))
 
     def _run(self, first: int, end: int) -> str:
         return f"{self.path}/run-{first:09d}-{end:09d}"
@@ -51,13 +52,19 @@ class ContentIndex:
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._run(first, end))
 
     def known(self, rows: DataFrame, batch: int) -> DataFrame:
-        """The hashes of earlier batches in the buckets of ``rows``; at most ``buckets`` numbers reach the driver."""
+        """(content_hash, seq) of earlier batches in the buckets of ``rows``; at most ``buckets`` numbers reach the driver."""
         wanted = [r["bucket"] for r in self._bucketed(rows).select("bucket").distinct().collect()]
-        return self._read(runs_before(batch, self.fan)).where(F.col("bucket").isin(wanted)).select("content_hash")
+        return self._read(runs_before(batch, self.fan)).where(F.col("bucket").isin(wanted)).select("content_hash", "seq")
 
     def unknown(self, rows: DataFrame, batch: int) -> DataFrame:
-        """``rows`` whose content no earlier batch has written."""
-        return rows.join(self.known(rows, batch), "content_hash", "left_anti") if batch else rows
+        """``rows`` whose content no earlier batch has written; with a ``seq``, not with the same or a smaller one."""
+        if not batch:
+            return rows
+        known = self.known(rows, batch).toDF("_hash", "_seq")
+        met = F.col("content_hash") == F.col("_hash")
+        if "seq" in rows.columns:
+            met &= F.coalesce(F.col("_seq") <= F.col("seq"), F.lit(True))
+        return rows.join(known, met, "left_anti")
 
     def add(self, rows: DataFrame, batch: int) -> None:
         """Write the run of a batch, and merge runs where ``fan`` of one size are complete."""

@@ -7,6 +7,7 @@ folder, and the state is the fold of the log.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,12 @@ from articleflow.streaming.content_index import ContentIndex
 def read(
     spark: SparkSession, directory: str, name: str, schema: StructType | str, files_per_batch: int = 16
 ) -> DataFrame:
-    """Micro-batches of the parquet files of one table."""
+    """Micro-batches of the parquet files of one table: files of its name, or those in a folder of its name."""
+    folder = re.sub(r"([\\{}\[\]*?])", r"\\\1", directory.rstrip("/"))  # only the name may match by pattern
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(directory)
+        .parquet(f"{folder}/{name}*.parquet")
     )
 
 
@@ -60,7 +61,8 @@ def ingest(
     """Pages to new articles, each content once; returns the written articles.
 
     A batch keeps first copies, then drops contents of the stored table and of earlier batches, which it looks up in
-    a ``ContentIndex``: only the buckets of its own hashes are read, however many batches there were.
+    a ``ContentIndex``: only the buckets of its own hashes are read, however many batches there were. The first copy is
+    the one of smallest ``seq``, also where its file comes later: it is written too, and the article is the first written.
     """
     spark = pages.sparkSession
     folder = f"{path}/articles"
@@ -81,7 +83,7 @@ def ingest(
         valid.unpersist()
 
     each_batch(pages, path, write)
-    return spark.read.parquet(folder)
+    return ingest_ops.first_by_hash(spark.read.parquet(folder))
 
 
 def fold_log(

@@ -175,3 +175,25 @@ def test_content_index_reads_stay_level(spark, tmp_path):
     one = spark.createDataFrame([(min(seen),)], "content_hash string")
     plan = index.known(one, 16)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_ingest_reads_a_folder_and_keeps_the_first_by_number(spark, tmp_path):
+    """A table may be a folder of files, in no order: the first copy of a content may lie in a later file."""
+    import os
+
+    from articleflow.operators import extract
+    from articleflow.plans.mapping import as_of
+
+    body = lambda k: f"<title>标题{k}</title><div id='article_inbox'><p>{'正文内容' * 20}{k}</p></div>"
+    rows = [(i, f"https://news.gmw.cn/2026-01/01/content_{i}.htm", body(i % 7), "国内") for i in range(120)]
+    schema = "page_id long, url string, html string, category string"
+    parts = _parts(spark, tmp_path, rows, schema, "pages")
+    folder = tmp_path / "set[1]" / "pages.parquet"
+    folder.mkdir(parents=True)
+    for at, part in enumerate(sorted(os.listdir(parts), reverse=True)):
+        target = folder / f"part-{at:03d}.parquet"
+        target.write_bytes((tmp_path / "pages-in" / part).read_bytes())
+        os.utime(target, (1_700_000_000 + at, 1_700_000_000 + at))
+    read = streams.read(spark, str(folder.parent), "pages", schema, files_per_batch=1)
+    got = streams.ingest(read, extract.SOURCE_B, as_of("2026-01-01 12:00:00"), str(tmp_path / "out"), ["国内"])
+    assert sorted((r.seq, r.title) for r in got.collect()) == [(i, f"标题{i}") for i in range(7)]
