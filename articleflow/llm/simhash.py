@@ -5,7 +5,8 @@ halves (of their quarters when there are many); the counts of two fingerprints d
 bits do, so tile pairs whose counts differ beyond the radius are never formed. Inside a tile pair numpy compares everything with exclusive-or
 and bit counts, and returns a spanning forest of the links in place of all of them.
 
-``one_of_each`` uses no fingerprints: it compares whole shingle sets, found by a fifth of their shingles, rare ones first.
+``one_of_each`` keeps one document of each group. It links what the fingerprints link, and after that, exactly, whole shingle
+sets that are alike: found by a fifth of their shingles, rare ones first. Without a radius it compares the sets alone.
 """
 
 from __future__ import annotations
@@ -425,10 +426,20 @@ def _prefixes(texts: DataFrame, sets: DataFrame, levels: np.ndarray, width: int)
     return plain.unionAll(far.select("mark", F.explode("tokens").alias("token")))
 
 
-def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
+def _print_links(documents: DataFrame, found: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) between the shingle sets of texts that ``near_duplicates`` puts in one group; equal texts count once."""
+    groups = near_duplicates(documents, radius).select("text_hash", "group_id").distinct()
+    members = groups.join(found.select("text_hash", "mark").distinct(), "text_hash").select("group_id", "mark").distinct()
+    members = staged(members, "print-members")
+    heads = members.groupBy("group_id").agg(F.min("mark").alias("v"), F.max("mark").alias("_w")).where("v < _w").drop("_w")
+    return members.join(heads, "group_id").where("mark <> v").select(F.col("mark").alias("u"), "v")
+
+
+def one_of_each(documents: DataFrame, width: int = 5, radius: int | None = None) -> DataFrame:
     """``documents`` without near duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows are linked when the sets of their shingles are alike by ``ALIKE`` or more, compared exactly; links chain.
+    With a ``radius``, rows are linked as ``near_duplicates`` does, by fingerprints that differ in so many bits at most.
+    Rows are also linked when the sets of their shingles are alike by ``ALIKE`` or more, compared exactly; links chain.
     Texts without words are alike. Of equal ids the row with the smallest text hash stays, of equal texts one; rows
     without an id stay only where their component has no other. Columns and their values are kept as they are.
     """
@@ -455,6 +466,8 @@ def one_of_each(documents: DataFrame, width: int = 5) -> DataFrame:
     sets = firsts.where("size > 0").select("mark", "size")
     prefixes = staged(_prefixes(texts_of(sets), sets, levels, width), "alike-prefixes")
     links = alike_links(sets, prefixes, shingles)
+    if radius is not None:
+        links = links.unionAll(_print_links(documents, found, radius))
     rooted = firsts.join(components(links).withColumnRenamed("node", "mark"), "mark", "left")
     leaders = rooted.groupBy(F.coalesce("root", "mark")).agg(F.min("_first").alias("_first"))
     leaders = staged(leaders.select(F.col("_first.i").alias("_i"), F.col("_first.h").alias("_h")).distinct(), "shingle-leaders")

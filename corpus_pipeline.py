@@ -33,8 +33,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near copies: the one with the smallest doc_id.
+
+    SimHash fingerprints within four bits are near copies, as in ``op7_simhash``; so are shingle sets that an exact
+    comparison finds alike, which fingerprints often miss.
+    """
+    return simhash.one_of_each(docs.select(*COLUMNS), radius=4)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

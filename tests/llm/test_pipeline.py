@@ -3,10 +3,11 @@
 import re
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from articleflow.llm import mixing, secrets, toxicity
+from articleflow.llm import mixing, secrets, simhash, toxicity
 from articleflow.llm.common import staged, table
 from articleflow.llm.queries_tokens import tokenizer_path
 from tests.llm.test_queries import DOCUMENTS, brute_one_of_each
@@ -61,3 +62,17 @@ def test_edge_cases(spark, tmp_path):
         docs = table(spark, folder, "documents").select(*corpus_pipeline.COLUMNS)
         drawn = mixing.mix(docs).where("sampled").select("doc_id").collect()
         assert sorted(str(r[0]) for r in mixing.sample(docs).select("doc_id").collect()) == sorted(str(r[0]) for r in drawn)
+
+
+def test_near_copies_by_fingerprint(spark):
+    """Repeated shingles count each time in a fingerprint and once in a set: near copies by the one method alone."""
+    rng = np.random.default_rng(8)
+    line = " ".join(f"w{k}" for k in range(40))
+    tail = lambda: " ".join(f"t{k}" for k in rng.integers(0, 1 << 30, 30))
+    texts = [f"{line} " * 60 + tail(), f"{line} " * 60 + tail(), tail(), None, ""]
+    (a, _), (b, _) = ((simhash.fingerprint(t), t) for t in texts[:2])
+    x, y = (set(simhash.shingle_set(t).tolist()) for t in texts[:2])
+    assert (a ^ b).bit_count() <= 4 and len(x & y) < 0.8 * len(x | y)
+    docs = spark.createDataFrame([(i + 1, t, "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
