@@ -9,17 +9,18 @@ larger ones by joins and aggregates, with checkpoints to cut lineage.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
-from articleflow.functions.text import est_tokens, split_long
-from articleflow.session import cut_lineage
+from articleflow.functions.text import est_tokens, once, split_long
+from articleflow.session import cut_lineage, staged
 
 DAMPING = 0.85
 MAX_ITERATIONS = 100
@@ -28,7 +29,10 @@ DIGITS = 9
 MAX_CELLS = 4_000_000
 MAX_SENTENCES = 2_048
 BLOCK = 512
-MAX_STRIP = 32
+#: Strips of a group, about, as long as none is larger than so many rows.
+STRIPS, STRIP_ROWS = 8, 16_384
+#: Rows of one number each that are sent to all tasks of a step; more are joined by a shuffle.
+SENT_ROWS = 1 << 20
 
 
 def _converge(step: Callable[[np.ndarray], np.ndarray], out: np.ndarray) -> np.ndarray:
@@ -205,7 +209,7 @@ def unit_blocks(vectors: DataFrame, key: str, item: str, vector: str, block: int
 
     A document is cut into as many blocks as its size asks for, whatever its ids look like; ``item`` is unique
     inside it. Rows without a key, an item or a vector take no part. Neighbouring blocks form strips: about
-    the root of their number each, at most ``MAX_STRIP``.
+    the root of their number each, or more so that there are no more than ``STRIPS``, at most ``STRIP_ROWS`` rows.
     """
     sizes = vectors.groupBy(F.col(key).alias("doc")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     rows = vectors.select(
@@ -213,11 +217,13 @@ def unit_blocks(vectors: DataFrame, key: str, item: str, vector: str, block: int
     ).where("doc is not null and id is not null and v is not null")
     norm = F.sqrt(F.reduce("v", F.lit(0.0), lambda s, v: s + v * v))
     safe = F.when(norm == 0, 1e-8).otherwise(norm)
-    placed = rows.withColumn("v", F.transform("v", lambda v: v / safe)).join(sizes, "doc").select(
+    unit = once(safe, lambda length: F.transform("v", lambda v: v / length))
+    placed = rows.withColumn("v", unit).join(sizes, "doc").select(
         "doc", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.struct("id", "v").alias("_r")
     )
     listed = placed.groupBy("doc", "blocks", "block").agg(F.array_sort(F.collect_list("_r")).alias("_r"))
-    width = F.least(F.ceil(F.sqrt("blocks")), F.lit(MAX_STRIP))
+    width = F.greatest(F.ceil(F.sqrt("blocks")), F.ceil(F.col("blocks") / STRIPS))
+    width = F.least(width, F.lit(max(1, STRIP_ROWS // block)).cast("long"))
     return listed.select(
         "doc",
         "block",
@@ -240,57 +246,105 @@ def cells(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _cell(cell: pd.DataFrame) -> pd.DataFrame:
-    """Clipped block products of one cell: per row, neighbours and the weighted sum of similarities."""
-    held = [
-        (block, strip, np.asarray(ids), np.asarray(vs).reshape(len(ids), -1), np.asarray(x))
-        for block, strip, ids, vs, x in zip(cell["block"], cell["strip"], cell["ids"], cell["vs"], cell["x"])
-    ]
-    z = {h[0]: np.zeros(len(h[2])) for h in held}
-    near = {h[0]: np.zeros(len(h[2]), "int64") for h in held}
-    own = cell["i"].iloc[0] == cell["j"].iloc[0]
-    for a, strip, _, left, x in held:
-        if strip != cell["i"].iloc[0]:
-            continue
-        for b, other, _, right, y in held:
-            if other != cell["j"].iloc[0] or own and b < a:
-                continue
-            graph = np.clip(left @ right.T, 0.0, None)
-            if a == b:
+def _products(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, own: bool) -> tuple[np.ndarray, ...]:
+    """Clipped products of two strips, part by part: both sides' weighted sums of similarities, and both sides' neighbours.
+
+    With ``own`` the strips are one: every pair is met once, and both of its rows are in the first side's numbers.
+    """
+    sums, near = (np.zeros(len(x)), np.zeros(len(y))), (np.zeros(len(x), "int64"), np.zeros(len(y), "int64"))
+    for p in range(0, len(x), BLOCK):
+        for q in range(p if own else 0, len(y), BLOCK):
+            a, b = slice(p, p + BLOCK), slice(q, q + BLOCK)
+            graph = np.clip(left[a] @ right[b].T, 0.0, None)
+            if own and p == q:
                 np.fill_diagonal(graph, 0.0)
             else:
-                z[b] += x @ graph
-                near[b] += (graph > 0).sum(axis=0)
-            z[a] += graph @ y
-            near[a] += (graph > 0).sum(axis=1)
+                sums[1][b] += x[a] @ graph
+                near[1][b] += (graph > 0).sum(axis=0)
+            sums[0][a] += graph @ y[b]
+            near[0][a] += (graph > 0).sum(axis=1)
+    if own:
+        return sums[0] + sums[1], sums[1][:0], near[0] + near[1], near[1][:0]
+    return *sums, *near
+
+
+def _cell(cell: pd.DataFrame) -> pd.DataFrame:
+    """Clipped products of one cell: per row, neighbours and the sum of similarities."""
+    first, last = cell["i"].iloc[0], cell["j"].iloc[0]
+    sides = [cell[cell["strip"] == strip] for strip in (first, last)]
+    ids = [np.concatenate([np.asarray(v) for v in side["ids"]] or [np.empty(0, "int64")]) for side in sides]
+    left, right = (
+        np.concatenate([np.asarray(v) for v in side["vs"]] or [np.empty(0)]).reshape(len(i), -1 if len(i) else 1)
+        for side, i in zip(sides, ids)
+    )
+    z, w, near, met = _products(left, right, np.ones(len(ids[0])), np.ones(len(ids[1])), first == last)
     return pd.DataFrame({
         "doc": cell["doc"].iloc[0],
-        "id": np.concatenate([h[2] for h in held]),
-        "z": np.concatenate([z[h[0]] for h in held]),
-        "neighbours": np.concatenate([near[h[0]] for h in held]),
+        "id": np.concatenate([ids[0], ids[1][: len(w)]]),
+        "z": np.concatenate([z, w]),
+        "neighbours": np.concatenate([near, met]),
     })
 
 
-def block_step(blocks: DataFrame, x: DataFrame | None = None) -> DataFrame:
-    """(doc, id, z, neighbours): clipped similarity times ``x`` (doc, id, x); ones by default.
+def block_step(blocks: DataFrame) -> DataFrame:
+    """(doc, id, z, neighbours): row sums and positive entries of the clipped similarity.
 
     Strips of blocks meet in cells, not rows; what leaves a cell is one number per row.
     """
-    if x is None:
-        given = blocks.withColumn("x", F.transform("ids", lambda _: F.lit(1.0)))
-    else:
-        flat = blocks.select("doc", "block", F.posexplode("ids").alias("_pos", "id")).join(x, ["doc", "id"])
-        packed = flat.groupBy("doc", "block").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_pos", "x"))), lambda r: r["x"]).alias("x")
-        )
-        given = blocks.join(packed, ["doc", "block"])
     kind = blocks.schema["doc"].dataType.simpleString()
-    sums = cells(given).groupBy("doc", "i", "j").applyInPandas(
+    sums = cells(blocks).groupBy("doc", "i", "j").applyInPandas(
         _cell, f"doc {kind}, id bigint, z double, neighbours bigint"
     )
     return sums.groupBy("doc", "id").agg(F.sum("z").alias("z"), F.sum("neighbours").alias("neighbours"))
 
 
+def held_cells(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, places): every cell of two strips as one row (doc, i, j, a, b) of vectors, and where each id stands in its strip.
+
+    Written once, so that a step reads the vectors where they lie and only numbers move.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("block", "ids", "vs")))
+    flat = lambda name: F.flatten(F.transform("_b", lambda b: b[name])).alias(name)
+    strips = staged(
+        blocks.groupBy("doc", "strip", "strips").agg(listed.alias("_b")).select("doc", "strip", "strips", flat("ids"), flat("vs")), "strips"
+    )
+    pairs = strips.select("doc", F.col("strip").alias("i"), F.explode(F.sequence("strip", F.col("strips") - 1)).alias("j"))
+    side = lambda at, name: strips.select("doc", F.col("strip").alias(at), F.col("vs").alias(name))
+    tasks = 4 * blocks.sparkSession.sparkContext.defaultParallelism
+    met = pairs.join(side("i", "a"), ["doc", "i"]).join(side("j", "b"), ["doc", "j"]).select("doc", "i", "j", "a", "b")
+    places = strips.select("doc", "strip", F.posexplode("ids").alias("pos", "id"))
+    return staged(met.repartition(tasks, "doc", "i", "j"), "cells"), staged(places, "places")
+
+
+def _held_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, id, z) of rows (doc, i, j, a, b, ids_i, x_i, ids_j, x_j)."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            a, b, left, x, right, y = (batch.column(c)[r].values.to_numpy() for c in range(3, 9))
+            own = batch.column(1)[r].as_py() == batch.column(2)[r].as_py()
+            z, w, _, _ = _products(a.reshape(len(x), -1), b.reshape(len(y), -1), x, y, own)
+            docs = batch.column(0).take(pa.array(np.full(len(z) + len(w), r)))
+            ids = np.concatenate([left, right[: len(w)]])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(ids), pa.array(np.concatenate([z, w]))], names=["doc", "id", "z"])
+
+
+def held_step(held: DataFrame, places: DataFrame, x: DataFrame, sent: bool) -> DataFrame:
+    """(doc, id, z): clipped similarity times ``x`` (doc, id, x) for the groups in ``x``.
+
+    Only ``x`` and the sums move; with ``sent``, ``x`` goes to all tasks and the vectors stay where they are.
+    """
+    packed = F.array_sort(F.collect_list(F.struct("pos", "id", "x")))
+    lists = places.join(x, ["doc", "id"]).groupBy("doc", "strip").agg(packed.alias("_l"))
+    part = lambda name: F.transform("_l", lambda r: r[name]).alias(name)
+    lists = lists.select("doc", "strip", part("id"), part("x"))
+    lists = F.broadcast(lists) if sent else lists
+    side = lambda at: lists.select("doc", F.col("strip").alias(at), F.col("id").alias(f"_id_{at}"), F.col("x").alias(f"_x_{at}"))
+    given = held.join(side("i"), ["doc", "i"]).join(side("j"), ["doc", "j"])
+    given = given.select("doc", "i", "j", "a", "b", "_id_i", "_x_i", "_id_j", "_x_j")
+    kind = held.schema["doc"].dataType.simpleString()
+    return given.mapInArrow(_held_cell, f"doc {kind}, id bigint, z double").groupBy("doc", "id").agg(F.sum("z").alias("z"))
+
+
 def degrees(vectors: DataFrame, key: str, item: str, vector: str, block: int = BLOCK) -> DataFrame:
     """(key, item, neighbours, out_sum) of the cosine graph: positive edges and their sum."""
     found = block_step(unit_blocks(vectors, key, item, vector, block))
@@ -327,25 +381,25 @@ def dense_scores(
 
 
 def block_scores(vectors: DataFrame, key: str, item: str, vector: str, block: int = BLOCK) -> DataFrame:
-    """The same scores for groups of any size, by block products and aggregates."""
-    blocks = cut_lineage(unit_blocks(vectors, key, item, vector, block))
-    sizes = blocks.groupBy("doc").agg(F.sum(F.size("ids")).alias("n"))
-    state = cut_lineage(
-        block_step(blocks)
+    """The same scores for groups of any size, by block products and aggregates; vectors are copied to cells once."""
+    held, places = held_cells(unit_blocks(vectors, key, item, vector, block))
+    rows = places.count()
+    sizes = places.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    ones = places.select("doc", "id").distinct().withColumn("x", F.lit(1.0))
+    state = staged(
+        held_step(held, places, ones, rows <= SENT_ROWS)
         .join(sizes, "doc")
         .select(
             "doc", "id", "n",
             F.when(F.col("z") == 0, 1.0).otherwise(F.col("z")).alias("out"),
             (F.lit(1.0) / F.col("n")).alias("score"),
             F.lit(False).alias("done"),
-        )
+        ),
+        "ranks",
     )
     for _ in range(MAX_ITERATIONS):
-        open_docs = state.where(~F.col("done")).select("doc").distinct()
-        z = block_step(
-            blocks.join(open_docs, "doc", "left_semi"),
-            state.select("doc", "id", (F.col("score") / F.col("out")).alias("x")),
-        ).select("doc", "id", "z")
+        given = state.where(~F.col("done")).select("doc", "id", (F.col("score") / F.col("out")).alias("x"))
+        z = held_step(held, places, given, rows <= SENT_ROWS)
         fresh = DAMPING * F.col("z") + (1.0 - DAMPING) / F.col("n")
         moved = state.join(z, ["doc", "id"], "left").withColumn(
             "_new", F.when(F.col("done"), F.col("score")).otherwise(fresh)
@@ -353,11 +407,12 @@ def block_scores(vectors: DataFrame, key: str, item: str, vector: str, block: in
         change = moved.groupBy("doc").agg(
             (F.sum(F.abs(F.col("_new") - F.col("score"))) < TOLERANCE).alias("_still")
         )
-        state = cut_lineage(
+        state = staged(
             moved.join(change, "doc").select(
                 "doc", "id", "n", "out", F.col("_new").alias("score"),
                 (F.col("done") | F.col("_still")).alias("done"),
-            )
+            ),
+            "ranks",
         )
         if state.where(~F.col("done")).isEmpty():
             break
