@@ -21,6 +21,15 @@ FACT_PATTERNS = {
     "time_range": ["上半年", "下半年", "第一季度", "第二季度", "第三季度", "第四季度", "[一二三四]季度"],
     "number": [r"[0-9]+(?:\.[0-9]+)?", "[零一二三四五六七八九十百千万亿]+"],
 }
+#: What every match of a pattern holds: texts without it need no search. None where nothing is sure.
+FACT_MARKS = {
+    "year_quarter": ["季度"],
+    "percent": ["%", "百分之", "成", "成"],
+    "month": ["月", "月"],
+    "year": ["年", "年"],
+    "time_range": ["上半年", "下半年", "第一季度", "第二季度", "第三季度", "第四季度", "季度"],
+    "number": [None, None],
+}
 EXACT_TYPES = ["year_quarter", "month", "year", "time_range"]
 APPROXIMATORS = ["超", "约", "近", "超过", "将近", "不到", "高于", "低于"]
 DIGITS = "零一二三四五六七八九"
@@ -31,11 +40,12 @@ TOLERANCE = 0.15
 def all_matches(col: Column, fact_type: str) -> Column:
     """Every match of a fact type, pattern by pattern, in text order."""
     text = F.coalesce(col, F.lit(""))
-    return F.flatten(
-        F.array(
-            *[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in FACT_PATTERNS[fact_type]]
-        )
-    )
+
+    def matches(pattern: str, mark: str | None) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return found if mark is None else F.when(text.contains(mark), found).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*map(matches, FACT_PATTERNS[fact_type], FACT_MARKS[fact_type])))
 
 
 def fact_key(col: Column) -> Column:

@@ -53,6 +53,13 @@ def count_script(col: Column, script: str = "cjk") -> Column:
     return F.regexp_count(col, F.lit(SCRIPTS[script])).cast("long")
 
 
+def has_script(col: Column, script: str = "cjk", minimum: int = 1) -> Column:
+    """Whether ``count_script`` reaches ``minimum``; the search ends as soon as it does."""
+    one = SCRIPTS[script]
+    other = one.replace("\\p", "\\P") if one.startswith("\\p") else "[^" + one[1:]
+    return col.rlike(rf"\A(?:{other}*+{one}){{{minimum}}}")
+
+
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.btrim(col, F.lit(WHITE))
@@ -159,7 +166,7 @@ def sentence_array(
     parts = F.flatten(
         F.transform(lines, lambda line: F.regexp_extract_all(strip(line), F.lit(pattern), F.lit(0)))
     )
-    return F.filter(F.transform(parts, strip), lambda s: count_script(s, script) >= minimum)
+    return F.filter(F.transform(parts, strip), lambda s: has_script(s, script, minimum))
 
 
 def est_tokens(col: Column, char_per_token: float = 2.0) -> Column:

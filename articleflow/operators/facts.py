@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ from articleflow.functions.text import once
 REPORT_ORDER = ["percent", "year_quarter", "month", "year", "time_range"]
 NO_VALUE = "（源文无匹配数值）"
 NO_BASIS = "（源文无依据）"
+#: The types that are compared with a source; plain numbers are not.
+COMPARED = ("percent", *EXACT_TYPES)
 
 
-def extract(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
-    """(doc_id, fact_type, fact_idx, fact): all facts of a text, in one narrow pass."""
+def extract(df: DataFrame, col: str, key: str = "doc_id", types: Sequence[str] = tuple(FACT_PATTERNS)) -> DataFrame:
+    """(doc_id, fact_type, fact_idx, fact): all facts of a text, or those of some types, in one narrow pass."""
 
     def typed_facts(fact_type: str) -> Column:
         return F.transform(
@@ -32,7 +36,7 @@ def extract(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
             ),
         )
 
-    typed = F.flatten(F.array(*[typed_facts(t) for t in FACT_PATTERNS]))
+    typed = F.flatten(F.array(*[typed_facts(t) for t in types]))
     return df.select(key, F.explode(typed).alias("_f")).select(key, "_f.*")
 
 

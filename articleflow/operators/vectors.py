@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.functions.rouge_text import tokens
+from articleflow.session import by_key, staged
 
 DIMENSIONS = 4096
 BATCH = 32
@@ -21,25 +22,37 @@ def term_of(token: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def encode(
-    sentences: DataFrame, key: str = "doc_id", dimensions: int = DIMENSIONS, token_pattern: str | None = None
+    sentences: DataFrame,
+    key: str = "doc_id",
+    dimensions: int = DIMENSIONS,
+    token_pattern: str | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """(doc_id, sent_idx, term, weight) of sentence rows: term count x ln((N+1)/(df+1)).
 
-    The frequency table has at most ``dimensions`` rows; how it is joined is left to Catalyst.
+    Sentences are placed while they are compact (unless rows of a key lie in one task already: ``placed``) and read
+    once: their term counts are written down, and each has a row without a term that counts the sentence itself.
+    The frequency table has at most ``dimensions`` rows, so it is sent to all tasks.
     """
     found = (
         tokens(F.col("sentence"))
         if token_pattern is None
         else F.regexp_extract_all(F.lower("sentence"), F.lit(token_pattern), F.lit(0))
     )
-    counts = (
-        sentences.select(key, "sent_idx", F.explode(found).alias("token"))
+    rows = sentences.select(key, "sent_idx", "sentence")
+    rows = rows if placed else by_key(rows, key, "sent_idx")
+    strings = lambda *items: F.array(*items).cast("array<string>")
+    with_itself = F.concat(F.coalesce(found, strings()), strings(F.lit(None)))
+    counts = staged(
+        rows.select(key, "sent_idx", F.explode(with_itself).alias("token"))
         .groupBy(key, "sent_idx", term_of(F.col("token"), dimensions).alias("term"))
-        .agg(F.count(F.lit(1)).alias("tf"))
+        .agg(F.count(F.lit(1)).alias("tf")),
+        "terms",
     )
-    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = sentences.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.join(seen, "term").select(
+    terms = counts.where("term is not null")
+    seen = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = counts.where("term is null").agg(F.sum("tf").alias("n")).scalar()
+    return terms.join(F.broadcast(seen), "term").select(
         key, "sent_idx", "term", (F.col("tf") * F.log((total + 1) / (F.col("df") + 1))).alias("weight")
     )
 

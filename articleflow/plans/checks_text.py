@@ -8,6 +8,7 @@ from articleflow.operators import facts, rank, vectors
 from articleflow.plans import summarise
 from articleflow.plans.catalogue import query
 from articleflow.plans.mapping import rounded
+from articleflow.session import staged
 from articleflow.sources.tables import read, read_spread
 
 ENDERS = ".!?"
@@ -142,7 +143,8 @@ def percent_values(spark, d):
 )
 def unsupported_facts(spark, d):
     texts = _grounded(spark, d)
-    mine, known = facts.extract(texts, "candidate"), facts.extract(texts, "source_text")
+    # both checks read the facts of both sides, so these are extracted once
+    mine, known = (staged(facts.extract(texts, c, types=facts.COMPARED), "facts") for c in ("candidate", "source_text"))
     cols = ["doc_id", "fact_type", "fact_idx", "fact"]
     return facts.unsupported(mine, known).select(*cols).unionByName(facts.unsupported_pct(mine, known).select(*cols))
 
@@ -207,7 +209,7 @@ def rank_embeddings_blocks(spark, d):
 @query("rank_sentences")
 def rank_sentences(spark, d):
     """Rows only: iterating in SQL over all documents is too slow; tests compare with brute force."""
-    rows = _sentences(spark, d)
+    rows = staged(_sentences(spark, d), "sentences")
     nodes = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
     sizes = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("cells"))
     return rounded(rank.scores(vectors.encode(rows, token_pattern=WORDS), nodes, sizes=sizes), ["score"])
