@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
 from string import ascii_lowercase, ascii_uppercase
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
-from articleflow.functions.text import SPACE, once
+from articleflow.functions.text import SPACE
 
 TOKEN = rf"[A-Za-z0-9]+|[^{SPACE[1:-1]}]"
 
@@ -20,17 +22,30 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
 
 
-def grams(token_array: Column, n: int) -> Column:
-    """All n-grams; tokens hold no white space, so a space is a safe separator."""
+def _grams(tokens: list[str], n: int) -> Iterable:
+    return tokens if n == 1 else zip(*(tokens[k:] for k in range(n)))
 
-    def join(items: Column) -> Column:
-        out = items
-        for k in range(1, n):
-            following = F.slice(items, F.lit(k + 1), F.size(items))
-            out = F.zip_with(out, following, lambda left, right: F.concat(left, F.lit(" "), right))
-        return F.slice(out, F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(0)))
 
-    return token_array if n == 1 else once(token_array, join)
+def _common_grams(predictions: Iterable[str], references: Iterable[str], orders: Sequence[int]) -> list[int]:
+    """Per order: common n-grams of two multisets, and the size of both; a text has one token per line."""
+    mine, known = ([t.split("\n") for t in texts if t] for texts in (predictions, references))
+    counts = []
+    for n in orders:
+        expected = Counter(g for t in known for g in _grams(t, n))
+        met = Counter(g for t in mine for g in _grams(t, n) if g in expected)
+        common = sum(min(c, expected[g]) for g, c in met.items())
+        counts += [common, sum(max(0, len(t) - n + 1) for t in mine), expected.total()]
+    return counts
+
+
+def common_grams(orders: Sequence[int]) -> Callable[..., Column]:
+    """For arrays of predictions and references with one token per line: the numbers of ``_common_grams``."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def counted(predictions: pd.Series, references: pd.Series) -> pd.Series:
+        return pd.Series([_common_grams(p, r, orders) for p, r in zip(predictions, references)], dtype="object")
+
+    return counted
 
 
 def f_score(overlap: Column, predicted: Column, expected: Column) -> Column:

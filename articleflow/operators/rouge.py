@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.functions.rouge_text import common_length, f_score, grams, tokens
+from articleflow.functions.rouge_text import common_grams, common_length, f_score, tokens
 from articleflow.functions.text import is_blank
 from articleflow.session import by_key
 
@@ -13,42 +13,19 @@ ORDERS = (1, 2)
 
 
 def overlap(pairs: DataFrame, orders: tuple[int, ...] = ORDERS, key: str = "id") -> DataFrame:
-    """(id, overlap{n}, predicted{n}, expected{n}): n-gram multiset overlap per pair.
+    """(id, overlap{n}, predicted{n}, expected{n}): n-gram multiset overlap per id.
 
-    Rows with (id, prediction, reference) are placed by id while they are still compact text.
-    The n-grams then meet in the task that made them: no n-gram is shuffled.
+    Rows with (id, prediction, reference) are placed by id while they are still compact text. The n-grams are counted
+    in the task that made them, and only those that a reference holds are ever gathered: no n-gram is a row.
     """
     placed = by_key(pairs.select(key, "prediction", "reference"), key)
-    both = placed.select(
-        key, tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r")
+    lines = lambda name: F.array_join(tokens(F.col(name)), "\n")
+    lists = placed.select(key, lines("prediction").alias("_p"), lines("reference").alias("_r")).groupBy(key).agg(
+        F.collect_list("_p").alias("_p"), F.collect_list("_r").alias("_r")
     )
-
-    def marked(name: str, order: int, is_prediction: int) -> Column:
-        return F.transform(
-            grams(F.col(name), order),
-            lambda g: F.struct(
-                F.lit(order).alias("n"), g.alias("gram"), F.lit(is_prediction).alias("p")
-            ),
-        )
-
-    def side(name: str, is_prediction: int) -> list[Column]:
-        return [marked(name, order, is_prediction) for order in orders]
-
-    rows = both.select(
-        key, F.explode_outer(F.concat(*side("_p", 1), *side("_r", 0))).alias("_g")
-    ).select(key, "_g.*")
-    counted = rows.groupBy(key, "n", "gram").agg(
-        F.coalesce(F.sum("p"), F.lit(0)).alias("_p"),
-        F.coalesce(F.sum(1 - F.col("p")), F.lit(0)).alias("_r"),
-    )
-    sums = []
-    for n in orders:
-        mine = F.coalesce(F.col("n") == n, F.lit(False))
-        for name, value in (
-            ("overlap", F.least("_p", "_r")), ("predicted", F.col("_p")), ("expected", F.col("_r"))
-        ):
-            sums.append(F.sum(F.when(mine, value).otherwise(0)).alias(f"{name}{n}"))
-    return counted.groupBy(key).agg(*sums)
+    counted = lists.select(key, common_grams(orders)(F.col("_p"), F.col("_r")).alias("_n"))
+    names = [f"{name}{n}" for n in orders for name in ("overlap", "predicted", "expected")]
+    return counted.select(key, *(F.get("_n", F.lit(i)).alias(name) for i, name in enumerate(names)))
 
 
 def n(pairs: DataFrame, order: int, key: str = "id") -> DataFrame:
