@@ -1,8 +1,10 @@
 """Physical plans keep the shape that holds at scale."""
 
+import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from articleflow.operators import rank, rouge
 from articleflow.plans import catalogue
@@ -99,3 +101,44 @@ def test_quantile_samples_rank_inside_tasks_in_one_scan(spark):
 def test_dense_graph_has_no_join_of_blocks(spark):
     text = of(spark, "cosine_degrees")
     assert "FlatMapGroupsInPandas" in text and re.search(r"hashpartitioning\(doc#\d+, i#\d+L, j#\d+L", text)
+
+
+def test_vectors_move_once(spark):
+    vs = [(1, i, [float(i % 7), 1.0, -float(i % 5)]) for i in range(300)]
+    df = spark.createDataFrame(vs, "doc long, item long, v array<double>")
+    held, places = rank.held_cells(rank.unit_blocks(df, "doc", "item", "v", block=1))
+    assert held.count() == 8 * 9 // 2 and places.count() == 300  # the root of 300 blocks would be 18 strips
+    ones = places.select("doc", "id").selectExpr("*", "1.0D as x")
+    text = plan(rank.held_step(held, places, ones, True))
+    assert not re.search(r"Exchange hashpartitioning\(doc#\d+L, [ij]#", text) and "MapInArrow" in text
+
+
+def test_sentences_are_read_once(spark):
+    from articleflow.operators import vectors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(d, i, f"a b w{i} v{d}" if i else "") for d in range(5) for i in range(4)], "doc_id long, sent_idx long, t string")
+    made = vectors.encode(rows.select("doc_id", "sent_idx", F.udf(count, "string")("t").alias("sentence")))
+    weights = {(r.doc_id, r.sent_idx, r.term): r.weight for r in made.collect()}
+    assert seen.value == 20 and len(weights) == 5 * 3 * 4
+    both = spark.range(1).select(vectors.term_of(F.lit("a"))).first()[0]
+    assert weights[0, 1, both] == pytest.approx(math.log(21 / 16))  # 20 sentences, also the empty ones; 15 hold it
+
+
+def test_facts_are_extracted_once(spark):
+    text = of(spark, "unsupported_facts")
+    assert "regexp_extract_all" not in text and "fact_type" in text
+
+
+def test_n_grams_are_not_rows(spark):
+    rows = [(1, "a b a", "a b c"), (1, "b c", "a b"), (None, None, ""), (2, "a\n文 b", "文 b B")]
+    pairs = spark.createDataFrame(rows, "id long, prediction string, reference string")
+    assert "Generate" not in plan(rouge.overlap(pairs))
+    got = {r["id"]: tuple(r)[1:] for r in rouge.overlap(pairs).collect()}
+    # rows of one id are one multiset
+    assert got == {1: (5, 5, 5, 2, 3, 3), None: (0,) * 6, 2: (2, 3, 3, 1, 2, 2)}
